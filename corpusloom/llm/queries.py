@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, pii
 
 QUERIES = {
     "op9_mixing": mixing.op9_mixing,
+    "op10_pii": pii.op10_pii,
 }
 
 ORACLES = {
