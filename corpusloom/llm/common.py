@@ -8,10 +8,6 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows that one task of a window ranks at most, on average.
-ROWS_PER_BUCKET = 50_000
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -47,7 +43,7 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def ranked(df: DataFrame, bucket: Column, order: list[Column], by: list[str], into: str, weight: Column | None = None, scratch: Scratch | None = None) -> DataFrame:
+def ranked(df: DataFrame, bucket: Column, order: list[Column], by: list[str], into: str, weight: Column | None = None) -> DataFrame:
     """Adds the running sum of weight (default 1) before each row, within by, in the order of (bucket, order).
 
     No task sees more than one bucket of one key: sums by bucket are taken first (with
@@ -72,8 +68,8 @@ def ranked(df: DataFrame, bucket: Column, order: list[Column], by: list[str], in
 
 
 def buckets_for(rows: int) -> int:
-    """Number of hash buckets so that each holds about ROWS_PER_BUCKET rows."""
-    return max(8, -(-rows // ROWS_PER_BUCKET))
+    """The root of the rows: as many buckets as rows in a bucket, so that neither window grows faster."""
+    return max(1, int(rows**0.5))
 
 
 def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ROWS_PER_BUCKET, ranked, table
+from .common import ranked, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating; the most epochs of a source.
@@ -76,7 +76,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     targets = targets.join(totals.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # the number of sources is far below that of documents, but not bounded: Spark decides on the join
     rows = rows.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    many = F.greatest(F.lit(1), (F.col("n") / ROWS_PER_BUCKET).cast("long") * 2)
+    many = F.ceil(F.sqrt("n"))  # as many buckets as rows in a bucket: neither window grows faster than the root
     bucket = F.least(many - 1, F.floor((1 - F.exp(-F.col("key"))) * many))
     rows = ranked(rows, bucket, [F.col("key"), F.col("doc_id"), F.col("size")], ["source"], "before", F.col("size"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import mixing, pii
+from . import mixing, pii, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op9_mixing": mixing.op9_mixing,
     "op10_pii": pii.op10_pii,
 }
