@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pii, toxicity
+from . import langid, mixing, pii, simhash, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op4_fingerprints": simhash.op4_fingerprints,
     "op6_language": langid.op6_language,
     "op9_mixing": mixing.op9_mixing,
     "op10_pii": pii.op10_pii,
