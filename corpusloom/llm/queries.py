@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pii, simhash, toxicity
+from . import langid, mixing, pii, simhash, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op4_fingerprints": simhash.op4_fingerprints,
     "op6_language": langid.op6_language,
+    "op8_urls": urls.op8_urls,
     "op9_mixing": mixing.op9_mixing,
     "op10_pii": pii.op10_pii,
 }
