@@ -33,7 +33,7 @@ from .words import WordHash
 #: Name of a category, and the SQL condition over the labels table that makes a row positive.
 CATEGORIES = (("low_quality", "quality = 0"), ("toxic", "toxic = 1"), ("toxic_low_quality", "toxic = 1 and quality = 0"))
 REJECT = "toxic"
-SAMPLE_ROWS, MAX_FEATURES, FOLDS = 12_000, 3_000, 3
+SAMPLE_ROWS, MAX_FEATURES, FOLDS = 6_000, 3_000, 3
 PREFIXES = (4, 5, 6, 7)
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -77,7 +77,9 @@ def train_chain(hashes: list[np.ndarray], labels: np.ndarray, folds: np.ndarray,
         chain.models = [None] * len(names)
         return chain
     every, inverse = np.unique(np.concatenate(hashes), return_inverse=True)
-    rows = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
+    sizes, n = [len(h) for h in hashes], len(hashes)
+    hashes.clear()  # the caller's list: a few hundred MB are not needed twice
+    inverse, rows = inverse.astype(np.int32), np.repeat(np.arange(n, dtype=np.int32), sizes)
     best = np.zeros(len(every))
     for j in range(len(names)):  # signed root of the likelihood ratio of each feature, with a doubt for rare ones
         ok, y = ~np.isnan(labels[:, j]), np.nan_to_num(labels[:, j])
@@ -94,9 +96,9 @@ def train_chain(hashes: list[np.ndarray], labels: np.ndarray, folds: np.ndarray,
     column[chosen] = np.arange(width)
     at = column[inverse]
     x = Sparse([])
-    x.n, keep = len(hashes), at >= 0
+    x.n, keep = n, at >= 0
     x.row, x.col, x.val = rows[keep], at[keep], np.ones(int(keep.sum()), np.float32)
-    held = np.zeros((len(hashes), len(names)))  # out-of-fold probabilities
+    held = np.zeros((n, len(names)))  # out-of-fold probabilities
     for j in range(len(names)):
         ok, y = ~np.isnan(labels[:, j]), np.nan_to_num(labels[:, j])
         inputs = held[:, :j] - 0.5
@@ -133,10 +135,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, samp
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(marks), "doc_id")
     rows = rows.select("doc_id", *names, F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), "text")
     kinds = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *[T.StructField(n, T.IntegerType()) for n in [*names, "fold"]], T.StructField("hashes", T.BinaryType())])
-    got = rows.mapInArrow(_featurise, kinds).orderBy("doc_id", F.xxhash64("hashes")).toArrow()
+    got = rows.mapInArrow(_featurise, kinds).toArrow().sort_by([("doc_id", "ascending"), ("hashes", "ascending")])
     y = np.column_stack([got.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in names]) if got.num_rows else np.zeros((0, len(names)))
     hashes = [np.frombuffer(h, np.uint64) for h in got.column("hashes").to_pylist()]
-    return train_chain(hashes, y, got.column("fold").to_numpy(), names)
+    folds = got.column("fold").to_numpy()
+    del got
+    return train_chain(hashes, y, folds, names)
 
 
 def _scorer(chain: Chain):
