@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import langid, mixing, pii, simhash, toxicity, urls
+from . import jaccard, langid, mixing, pii, simhash, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_jaccard": jaccard.op2_jaccard,
     "op4_fingerprints": simhash.op4_fingerprints,
     "op6_language": langid.op6_language,
     "op8_urls": urls.op8_urls,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_jaccard": jaccard.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }
