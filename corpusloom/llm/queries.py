@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, mixing, pii, simhash, toxicity, urls
+from . import jaccard, langid, mixing, pii, sharding, simhash, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_jaccard": jaccard.op2_jaccard,
+    "op3_sharding": sharding.op3_sharding,
     "op4_fingerprints": simhash.op4_fingerprints,
     "op6_language": langid.op6_language,
     "op8_urls": urls.op8_urls,
