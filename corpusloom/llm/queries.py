@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, mixing, pii, sharding, simhash, toxicity, urls
+from . import decontaminate, jaccard, langid, mixing, pii, sharding, simhash, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_sharding": sharding.op3_sharding,
     "op4_fingerprints": simhash.op4_fingerprints,
     "op6_language": langid.op6_language,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_urls": urls.op8_urls,
     "op9_mixing": mixing.op9_mixing,
     "op10_pii": pii.op10_pii,
