@@ -171,7 +171,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = P
         if not left:
             break
         last = left <= 2 * total or step == STAR_ROUNDS
-        key = F.struct(F.xxhash64("c", F.lit(step)) if step else F.col("c"), "c", "n", "at", "comp")
+        key = F.struct((F.xxhash64("c", F.lit(step)) if step else F.col("c")).alias("k"), "c", "n", "at", "comp")
         x = lambda name: F.col(f"p.{name}")
         if last:
             other = groups.select("h", F.struct("c", "n", "at", "comp").alias("p"))
