@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, langid, mixing, pii, sharding, simhash, toxicity, urls
+from . import decontaminate, jaccard, langid, mixing, pii, repeats, sharding, simhash, toxicity, urls
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_jaccard": jaccard.op2_jaccard,
     "op3_sharding": sharding.op3_sharding,
     "op4_fingerprints": simhash.op4_fingerprints,
+    "op5_repeats": repeats.op5_repeats,
     "op6_language": langid.op6_language,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_urls": urls.op8_urls,
