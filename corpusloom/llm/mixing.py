@@ -58,19 +58,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, size, source, source_size, target, copies, taken) for each row of docs.
+    """(doc_id, text_key, size, source, source_size, target, copies, taken) for each row of docs; text_key hashes the text.
 
     quality: (doc_id, quality) rows that weigh the draw; several for one id count as their
     greatest. A document is taken whole in the last, fractional epoch if at least half of it lies within the
     budget, so that a source misses its target by half a document at most.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).select("doc_id", "source", word_count().alias("size"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("text_key"))
     weight = F.lit(QUALITY_WEIGHT[None])
     if quality is not None:
         best = quality.groupBy("doc_id").agg(F.max("quality").alias("quality"))
         rows = rows.join(best, "doc_id", "left")
         weight = F.when(F.col("quality") == 1, QUALITY_WEIGHT[1]).when(F.col("quality") == 0, QUALITY_WEIGHT[0]).otherwise(QUALITY_WEIGHT[None])
-    rows = rows.select("doc_id", "source", "size", (-F.log(draw()) / weight).alias("key"))
+    rows = rows.select("doc_id", "text_key", "source", "size", (-F.log(draw()) / weight).alias("key"))
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(totals.select("source", "source_size"), weights, most)
     targets = targets.join(totals.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -78,12 +78,21 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     rows = rows.join(targets.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     many = F.ceil(F.sqrt("n"))  # as many buckets as rows in a bucket: neither window grows faster than the root
     bucket = F.least(many - 1, F.floor((1 - F.exp(-F.col("key"))) * many))
-    rows = ranked(rows, bucket, [F.col("key"), F.col("doc_id"), F.col("size")], ["source"], "before", F.col("size"))
+    rows = ranked(rows, bucket, [F.col("key"), F.col("doc_id"), F.col("size"), F.col("text_key")], ["source"], "before", F.col("size"))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.col("target") - epochs * F.col("source_size")
     copies = epochs + F.when((F.col("size") > 0) & (F.col("before") * 2 + F.col("size") <= rest * 2), 1).otherwise(0)
     copies = F.least(copies, F.lit(most)) * (F.col("size") > 0).cast("long")
-    return rows.withColumn("copies", copies.cast("long")).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.withColumn("copies", copies.cast("long")).select("doc_id", "text_key", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with all their columns. Rows of one id and text are interchangeable and share their copies."""
+    mine = mix(docs, quality, doc_id=doc_id, text=text, **options).where("copies > 0")
+    copies = mine.groupBy(F.col("doc_id").alias("__i"), F.col("text_key").alias("__t")).agg(F.sum("copies").alias("__n"))
+    rows = docs.withColumn("__k", F.xxhash64(F.col(text)))
+    rows = rows.join(copies, F.col(doc_id).eqNullSafe(F.col("__i")) & (F.col("__k") == F.col("__t"))).dropDuplicates([doc_id, "__k"])
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy")).drop("__copy")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
