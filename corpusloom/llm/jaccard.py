@@ -11,9 +11,11 @@ product is taken in two column blocks:
 2. The rest, for the pairs that are left: whole sparse rows are multiplied to the exact overlap.
 
 The order puts rare columns first, so that prefixes seldom meet by chance. A column's count is
-needed only where prefixes can reach: columns with a hash below REGION of the hash range are
-ordered by (count, hash), the others come after them by hash. Columns of a single class cannot
-make a pair: they only push others back, and are dropped once counted.
+needed only where prefixes can reach: at first, columns with a hash below REGION of the hash
+range are ordered by (count, hash), the others come after them by hash. Columns of a single
+class cannot make a pair: they only push others back, and are dropped once counted. Rows whose
+prefix holds no shared column have no partner. Among the rows left, which are few, all columns
+are counted and ordered anew, which again leaves out rows that share common passages alone.
 
 Components need not all entries of a large group of near copies. In each round one pivot row
 per column is multiplied with that column's rows of other components; what links is contracted.
@@ -64,46 +66,17 @@ def prefix_size(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _incidence(k: int, percent: int, region: float):
-    """(h, c, i) of the columns that can be in a prefix: all of the region (i null), and beyond it as many as the prefix lacks, i being the column's place in the row."""
-    bound = np.uint64(int(region * 2**64))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = WordHash()
-        parts: list[tuple[np.ndarray, int, int]] = []
-        size = 0
-
-        def made() -> pa.RecordBatch:
-            h = np.concatenate([p[0] for p in parts]).view(np.int64)
-            c = np.repeat(np.array([p[1] for p in parts], np.int64), [len(p[0]) for p in parts])
-            at = np.concatenate([np.arange(len(p[0])) for p in parts])
-            inside = at < np.repeat([p[2] for p in parts], [len(p[0]) for p in parts])
-            parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(c), pa.array(at, pa.int32(), mask=inside)], ["h", "c", "i"])
-
-        for b in batches:
-            for s in _sets(b, "text", k, seen):
-                if len(s):
-                    mine = int(np.searchsorted(s, bound))
-                    parts.append((s[: max(mine, prefix_size(len(s), percent))], _class(s), mine))
-                    size += len(parts[-1][0])
-                    if size > _ROWS:
-                        yield made()
-                        size = 0
-        if parts:
-            yield made()
-
-    return run
-
-
-def _regions(k: int, region: float):
+def _sizes(k: int, percent: int, region: float):
+    """(doc_id, n, c, inside, cols): size and class of each set, and its columns that can be in a prefix: the first ones by hash, all of the region (inside of them), and beyond it as many as a prefix may lack."""
     bound = np.uint64(int(region * 2**64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = WordHash()
         for b in batches:
             sets = list(_sets(b, "text", k, seen))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64()), pa.array([int(np.searchsorted(s, bound)) for s in sets], pa.int64())], ["doc_id", "n", "c", "inside"])
+            inside = [int(np.searchsorted(s, bound)) for s in sets]
+            cols = [s[: max(m, prefix_size(len(s), percent))].view(np.int64) for s, m in zip(sets, inside, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) for s in sets], pa.int64()), pa.array(inside, pa.int64()), pa.array(cols, pa.list_(pa.int64()))], ["doc_id", "n", "c", "inside", "cols"])
 
     return run
 
@@ -134,30 +107,33 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = P
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sizes = scratch.cut(rows.mapInArrow(_regions(k, region), "doc_id long, n long, c long, inside long"))
-    classes = scratch.cut(sizes.where("c <> 0 and doc_id is not null").groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("inside").alias("inside")))
+    sizes = scratch.cut(rows.mapInArrow(_sizes(k, percent, region), "doc_id long, n long, c long, inside long, cols array<long>"))
+    named = sizes.where("c <> 0 and doc_id is not null")
+    classes = scratch.cut(named.groupBy("c").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("inside").alias("inside")))
+    prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    byte_order = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  hashes are unsigned
+    order = Window.partitionBy("c").orderBy("m", byte_order("h"))
 
     # columns of two classes or more, with their counts; counted before any row of them is brought together
-    entries = rows.where("doc_id is not null").select("text").mapInArrow(_incidence(k, percent, region), "h long, c long, i int")
+    entries = named.select("c", "inside", F.posexplode("cols").alias("i", "h")).select("h", "c", F.when(F.col("i") >= F.col("inside"), F.col("i")).alias("i"))
     counts = entries.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h", "m")
-    shared = scratch.cut(entries.join(counts, "h").groupBy("h", "c").agg(F.max("m").alias("m"), F.max("i").alias("i")))
-
+    shared = entries.join(counts, "h").groupBy("h", "c").agg(F.max("m").alias("m"), F.max("i").alias("i"))
     # the place of each shared column in its row: columns of one class come first in the region
-    byte_order = lambda c: F.col(c).bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  hashes are unsigned
-    placed = shared.join(classes, "c")
-    order = Window.partitionBy("c").orderBy("m", byte_order("h"))
-    inner = placed.where("i is null")
-    single = F.col("inside") - F.count("*").over(Window.partitionBy("c"))
-    inner = inner.withColumn("at", single + F.row_number().over(order) - 1)
-    prefix = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100) + 1
+    placed = scratch.cut(shared).join(classes, "c")
+    inner = placed.where("i is null").withColumn("at", F.col("inside") - F.count("*").over(Window.partitionBy("c")) + F.row_number().over(order) - 1)
     placed = inner.unionByName(placed.where("i is not null").withColumn("at", F.col("i").cast("long"))).where(F.col("at") < prefix)
-    prefixes = scratch.cut(placed.select("h", "c", "n", "at"))
-    scratch.drop(shared)
-    total = prefixes.count()
+    some = scratch.cut(placed.select("c", F.col("rep").alias("doc_id")).distinct())
 
-    some = prefixes.select("c").distinct().join(classes.select("c", F.col("rep").alias("doc_id")), "c")
+    # all other rows have no partner; among those left, all columns are counted and ordered anew
     full = rows.join(some.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(_rows(k), "c long, row array<long>")
-    full = scratch.cut(full.dropDuplicates(["c"]))
+    full = scratch.cut(full.dropDuplicates(["c"]).join(some.select("c"), "c", "left_semi"))
+    entries = full.select("c", F.explode("row").alias("h"))
+    counts = entries.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    placed = entries.join(counts, "h").join(classes.select("c", "n"), "c")
+    placed = placed.withColumn("at", F.col("n") - F.count("*").over(Window.partitionBy("c")) + F.row_number().over(order) - 1)
+    prefixes = scratch.cut(placed.where(F.col("at") < prefix).select("h", "c", "n", "at"))
+    total = prefixes.count()
+    some = prefixes.select("c").distinct()
     labels = scratch.cut(some.select("c", F.col("c").alias("comp")))
     links = tried = None
 
@@ -201,7 +177,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = P
     named = classes.join(labels, "c", "left").select("c", "rep", F.coalesce("comp", "c").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = scratch.cut(named.join(smallest, "comp").select("c", "component_id"))
-    out = sizes.join(named, "c", "left")
+    out = sizes.drop("cols").join(named, "c", "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("c") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", F.col("n").alias("n_shingles"), "c", component.cast("long").alias("component_id"))
     if links is None:
