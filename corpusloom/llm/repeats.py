@@ -12,8 +12,8 @@ A corpus is too large for one suffix array, so strings that may be equal are bro
    different hulls of a core are laid side by side in a text of bounded size, its suffix array
    is built by linear grouping (see suffixes), and neighbours in it that agree on LENGTH bytes
    are repeats.
-4. A core with more than MOST_HULLS hulls is not taken into one task: its blocks are halved,
-   with cores and hulls counted anew (with map-side combine), until blocks are single windows.
+4. A core with more than MOST_HULLS hulls is not taken into one task: its blocks are cut up,
+   with cores and hulls counted anew (with map-side combine), until they are single windows.
 
 All counts are over distinct texts by place; texts that occur twice are removed whole, if long
 enough. Nothing is sampled or capped, and work is linear in the bytes that repeat.
@@ -200,23 +200,24 @@ def _arrays(length: int):
     return run
 
 
-def _halves(length: int):
-    """Rows (key, s, e, a, near, far, bytes): windows at offsets near to far before the anchor a -> both halves, with cores and hulls of their own."""
+def _parts(length: int, step: int):
+    """Rows (key, s, e, a, near, far, bytes): windows at offsets near to far before the anchor a -> runs of step of these offsets, with cores and hulls of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for b in batches:
             out = []
             for key, s, e, a, near, far, raw in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                lo = np.arange(near, far + 1, step)
+                hi = np.minimum(lo + step - 1, far)
+                first, last = np.maximum(s, a - hi), np.minimum(e, a - lo)
+                keep = first <= last
+                lo, hi, first, last = lo[keep], hi[keep], first[keep], last[keep]
                 hasher.load(np.frombuffer(raw, np.uint8))
-                middle = (near + far) // 2
-                for lo, hi in ((near, middle), (middle + 1, far)):
-                    first, last = max(s, a - hi), min(e, a - lo)
-                    if lo <= hi and first <= last:
-                        one = lambda x: np.array([x], np.int64)
-                        core = int(_mark(hasher.of(one(a - lo - s), one(a - hi - s + length)), one(lo), one(hi))[0])
-                        hull = int(_mark(hasher.of(one(first - s), one(last - s + length)), one(first - a), one(last - a))[0])
-                        out.append((core, hull, int(place_id(one(key), one(first))[0]), key, first, last, a, lo, hi, raw[first - s : last - s + length]))
+                core = _mark(hasher.of(a - lo - s, a - hi - s + length), lo, hi)
+                hull = _mark(hasher.of(first - s, last - s + length), first - a, last - a)
+                ids = place_id(np.full(len(lo), key), first)
+                out += [(*row, raw[row[4] - s : row[5] - s + length]) for row in zip(*(x.tolist() for x in (core, hull, ids, np.full(len(lo), key), first, last, np.full(len(lo), a), lo, hi)), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(9)] + [pa.array([r[9] for r in out], pa.binary())], ["core", "hull", "id", "key", "s", "e", "a", "near", "far", "bytes"])
 
     return run
@@ -247,7 +248,7 @@ def repeated_runs(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     blocks = scratch.cut(full.mapInArrow(_blocks(length, gram, step), "core long, hull long, id long, key long, s long, e long, a long"))
     counted = _counted(blocks, scratch)
     sure = lambda blocks, counted: blocks.join(counted.where("again").select("core", "hull"), ["core", "hull"]).select("key", "s", "e")
-    runs = scratch.cut(sure(blocks, counted))
+    runs = sure(blocks, counted)
 
     # the different hulls of cores that are not settled, with their bytes
     some = counted.where("hulls > 1").select("core", "hulls", "one.*")
@@ -257,21 +258,21 @@ def repeated_runs(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     hulls = scratch.cut(cut.select("key", "p.*", F.substring(F.col("raw"), (F.col("p.s") + 1).cast("int"), (F.col("p.e") - F.col("p.s") + length).cast("int")).alias("bytes")))
     few = hulls.where(F.col("hulls") <= most_hulls).select("core", "key", "s", "bytes")
     few = few.repartition("core").sortWithinPartitions("core").mapInArrow(_arrays(length), "key long, s long, e long")
-    runs = runs.unionByName(scratch.cut(few))
+    runs = runs.unionByName(few)
 
-    # cores of very many hulls: halved until every block is one window
+    # cores of very many hulls: their blocks are cut up until each is one window
     kind = F.floor((F.col("a") - F.col("s")) / step)
     many = hulls.where(F.col("hulls") > most_hulls).select("key", "s", "e", "a", (kind * step).alias("near"), F.least(kind * step + step - 1, F.lit(length - gram)).alias("far"), "bytes")
-    for _ in range(step.bit_length() + 1):
-        many = scratch.cut(many.where("near < far").select("key", "s", "e", "a", "near", "far", "bytes"))
-        if many.isEmpty():
+    while step > 1:
+        step = max(1, round(step**0.5)) if step > 4 else 1
+        parts = scratch.cut(many.mapInArrow(_parts(length, step), "core long, hull long, id long, key long, s long, e long, a long, near long, far long, bytes binary"))
+        if parts.isEmpty():
             break
-        halves = scratch.cut(many.mapInArrow(_halves(length), "core long, hull long, id long, key long, s long, e long, a long, near long, far long, bytes binary"))
-        counted = _counted(halves.select("core", "hull", "id", "key", "s", "e", "a"), scratch)
-        runs = runs.unionByName(scratch.cut(sure(halves, counted)))
+        counted = _counted(parts.select("core", "hull", "id", "key", "s", "e", "a"), scratch)
+        runs = runs.unionByName(sure(parts, counted))
         # one place of every hull goes on, also of settled ones, as open hulls may share windows with them
         open_ones = counted.where("hulls > 1").select("core", "hull", F.col("one.id").alias("id"))
-        many = halves.join(open_ones, ["core", "hull", "id"]).select("key", "s", "e", "a", "near", "far", "bytes")
+        many = parts.join(open_ones, ["core", "hull", "id"]).select("key", "s", "e", "a", "near", "far", "bytes")
     return full.select("key", "text"), runs
 
 
