@@ -5,10 +5,11 @@ entries of M M^T that reach the threshold. The columns are put in one global ord
 product is taken in two column blocks:
 
 1. The prefix block: of each row its first |x| - ceil(t |x|) + 1 columns. Two rows that reach
-   the threshold t share one of them. Overlap counts are accumulated over these columns alone,
-   and pairs are discarded whose sizes are out of proportion, or whose count so far plus the
-   columns left on the shorter side stays below t / (1 + t) (|x| + |y|).
-2. The rest, for the pairs that are left: whole sparse rows are multiplied to the exact overlap.
+   the threshold t share one of them. Where a shared column is the first one, all columns before
+   it are known not to overlap, so pairs are discarded whose columns left, on either side, stay
+   below t / (1 + t) (|x| + |y|); that bounds their sizes, too.
+2. The rest, for the pairs that are left: whole sparse rows are multiplied, blocked by the row,
+   and the accumulated overlap is compared exactly.
 
 The order puts rare columns first, so that prefixes seldom meet by chance. A column's count is
 needed only where prefixes can reach: at first, columns with a hash below REGION of the hash
@@ -43,7 +44,7 @@ from .common import Scratch, components, table
 from .words import WordHash, shingle_hashes, word_hashes
 
 SHINGLE_WORDS, PERCENT = 5, 80
-REGION, STAR_ROUNDS = 0.26, 8
+REGION, STAR_ROUNDS = 0.26, 5
 _ROWS = 65_536
 
 
@@ -91,6 +92,14 @@ def _rows(k: int):
     return run
 
 
+def _pairable(rows: DataFrame, percent: int) -> DataFrame:
+    """Rows of columns that hold a possible partner: one not too large for the row's slack, and one with slack enough for the row."""
+    lists = rows.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("slack").alias("most")).where("m > 1")
+    both = rows.join(lists, "h")
+    fits = F.col("slack") >= percent * F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    return both.where(fits & (F.col("most") >= percent * F.col("n"))).select(*rows.columns)
+
+
 def _enough(percent: int, overlap: Column, x: Column, y: Column) -> Column:
     """100 overlap >= percent (x + y - overlap), in whole numbers."""
     return (100 + percent) * overlap >= percent * (x + y)
@@ -131,7 +140,10 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = P
     counts = entries.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     placed = entries.join(counts, "h").join(classes.select("c", "n"), "c")
     placed = placed.withColumn("at", F.col("n") - F.count("*").over(Window.partitionBy("c")) + F.row_number().over(order) - 1)
-    prefixes = scratch.cut(placed.where(F.col("at") < prefix).select("h", "c", "n", "at"))
+    # slack: what 100 + percent times the most that may still overlap leaves for the partner's size; pairs need slack >= percent * n both ways
+    slack = (100 + percent) * (F.col("n") - F.col("at")) - percent * F.col("n")
+    prefixes = _pairable(placed.where(F.col("at") < prefix).select("h", "c", "n", slack.alias("slack")), percent)
+    prefixes = scratch.cut(_pairable(scratch.cut(prefixes), percent))
     total = prefixes.count()
     some = prefixes.select("c").distinct()
     labels = scratch.cut(some.select("c", F.col("c").alias("comp")))
@@ -140,27 +152,24 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = P
     for step in range(STAR_ROUNDS + 1):
         mine = prefixes.join(labels, "c")
         open_h = mine.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-        groups = mine.join(open_h.select("h", "m"), "h")
+        groups = scratch.cut(mine.join(open_h.select("h", "m"), "h"))
         # pairs of different components over all columns: sum of (m^2 - sum of squares by component) / 2
         parts = groups.groupBy("h", "comp").agg(F.count("*").alias("k"), F.first("m").alias("m"))
         left = parts.agg(F.sum(F.col("k") * (F.col("m") - F.col("k")) / 2)).first()[0] or 0
         if not left:
             break
         last = left <= 2 * total or step == STAR_ROUNDS
-        key = F.struct((F.xxhash64("c", F.lit(step)) if step else F.col("c")).alias("k"), "c", "n", "at", "comp")
         x = lambda name: F.col(f"p.{name}")
         if last:
-            other = groups.select("h", F.struct("c", "n", "at", "comp").alias("p"))
+            other = groups.select("h", F.struct("c", "n", "slack", "comp").alias("p"))
             pairs = groups.join(other, "h").where((F.col("c") < x("c")) & (F.col("comp") != x("comp")))
         else:
-            pivots = groups.groupBy("h").agg(F.min(key).alias("p"))
-            pairs = groups.join(pivots, "h").where(F.col("comp") != x("comp"))
-        pairs = pairs.where((100 * F.col("n") >= percent * x("n")) & (100 * x("n") >= percent * F.col("n")))
-        near = pairs.groupBy(F.least("c", x("c")).alias("a"), F.greatest("c", x("c")).alias("b")).agg(F.count("*").alias("overlap"), F.max(F.struct(F.col("at"), x("at").alias("pat"), F.col("n"), x("n").alias("pn"))).alias("z"))
-        rest = F.least(F.col("z.n") - 1 - F.col("z.at"), F.col("z.pn") - 1 - F.col("z.pat"))
-        if last:  # with all common prefix columns counted, the bound on what may follow discards pairs
-            near = near.where(_enough(percent, F.col("overlap") + rest, F.col("z.n"), F.col("z.pn")))
-        near = near.select("a", "b")
+            # the first pivots are rows of most slack, which are those with the fewest columns of their own
+            key = F.struct((F.xxhash64("c", F.lit(step)) if step else -F.col("slack")).alias("k"), "c", "n", "slack", "comp")
+            pairs = groups.join(groups.groupBy("h").agg(F.min(key).alias("p")), "h").where(F.col("comp") != x("comp"))
+        # the first column that two rows share passes this test if they reach the threshold
+        pairs = pairs.where((F.col("slack") >= percent * x("n")) & (x("slack") >= percent * F.col("n")))
+        near = pairs.select(F.least("c", x("c")).alias("a"), F.greatest("c", x("c")).alias("b")).distinct()
         if tried is not None:
             near = near.join(tried, ["a", "b"], "left_anti")
         near = scratch.cut(near)
