@@ -31,14 +31,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of linked documents the one of smallest id; repeated rows of an id are one document."""
     found = jaccard_components(docs).documents
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == F.col("__stay"), "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(stay, docs["doc_id"] == stay["__stay"], "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs["doc_id"] == F.col("__gone"), "left_anti")
+    return docs.join(found, docs["doc_id"] == found["__gone"], "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

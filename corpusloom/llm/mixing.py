@@ -90,9 +90,9 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, doc_id: s
     """The rows of docs as often as the mix takes them, with all their columns. Rows of one id and text are interchangeable and share their copies."""
     mine = mix(docs, quality, doc_id=doc_id, text=text, **options).where("copies > 0")
     copies = mine.groupBy(F.col("doc_id").alias("__i"), F.col("text_key").alias("__t")).agg(F.sum("copies").alias("__n"))
-    rows = docs.withColumn("__k", F.xxhash64(F.col(text)))
-    rows = rows.join(copies, F.col(doc_id).eqNullSafe(F.col("__i")) & (F.col("__k") == F.col("__t"))).dropDuplicates([doc_id, "__k"])
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy")).drop("__copy")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(doc_id).alias("__id"), F.xxhash64(F.col(text)).alias("__k"))
+    rows = rows.join(copies, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__k") == F.col("__t"))).dropDuplicates(["__id", "__k"])
+    return rows.select("__row", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy")).select("__row.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

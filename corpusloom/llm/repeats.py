@@ -39,7 +39,7 @@ from .suffixes import suffix_array
 from .words import mix64
 
 LENGTH, GRAM, STEP = 400, 64, 42
-MOST_HULLS, BLOCK_BYTES = 400, 1 << 16
+MOST_HULLS, HULLS_A_TASK, BLOCK_BYTES = 400, 2_000, 1 << 16
 PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SYMBOLS = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -257,7 +257,8 @@ def repeated_runs(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     cut = full.join(lists, F.col("key") == F.col("k")).select("key", F.col("text").cast("binary").alias("raw"), F.explode("spots").alias("p"))
     hulls = scratch.cut(cut.select("key", "p.*", F.substring(F.col("raw"), (F.col("p.s") + 1).cast("int"), (F.col("p.e") - F.col("p.s") + length).cast("int")).alias("bytes")))
     few = hulls.where(F.col("hulls") <= most_hulls).select("core", "key", "s", "bytes")
-    few = few.repartition("core").sortWithinPartitions("core").mapInArrow(_arrays(length), "key long, s long, e long")
+    # a task's work is bounded by its bytes of text, however many there are
+    few = few.repartition(max(1, hulls.count() // HULLS_A_TASK), "core").sortWithinPartitions("core").mapInArrow(_arrays(length), "key long, s long, e long")
     runs = runs.unionByName(few)
 
     # cores of very many hulls: their blocks are cut up until each is one window
