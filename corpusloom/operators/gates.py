@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as T
 from ..functions.cut import cut
+from ..functions.html import PREFIX, facets_of
 
 
 def fragments_of(files: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -151,8 +152,8 @@ def reconcile(files: DataFrame, headings: DataFrame, fragments: DataFrame, secti
                         continue
                     if not _present(needle, src):
                         items.append(("genuine_gaps", "contracts", needle))
-                    elif not _present(needle, " ".join(w for w in map(_words, H.facets_of(body).blocks) if w)):
-                        body += f'<div class="{H.PREFIX}-contract">{html.escape(c["text"])}</div>'
+                    elif not _present(needle, " ".join(w for w in map(_words, facets_of(body).blocks) if w)):
+                        body += f'<div class="{PREFIX}-contract">{html.escape(c["text"])}</div>'
                         items.append(("auto_closed", "contracts", needle))
                 out.append((slug, body, body != source, kept, items))
             yield pd.DataFrame(out, columns=["slug", "html", "changed", "kept", "items"])
