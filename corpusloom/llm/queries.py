@@ -19,5 +19,6 @@ QUERIES = {
 
 ORACLES = {
     "op2_jaccard": jaccard.ORACLE,
+    "op5_repeats": repeats.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }

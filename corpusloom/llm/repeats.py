@@ -325,3 +325,27 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, step
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS k
+  FROM (SELECT r, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM texts WHERE length(h) >= 800)),
+again AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+starts AS (SELECT r, i FROM windows JOIN again USING (k)),
+runs AS (
+  SELECT r, min(i) AS s, max(i) + 400 AS e FROM (
+    SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS run FROM (
+      SELECT r, i, CASE WHEN i > 400 + lag(i) OVER (PARTITION BY r ORDER BY i) THEN 1 ELSE 0 END AS opens FROM starts))
+  GROUP BY r, run),
+gaps AS (
+  SELECT r, s, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS since, e, row_number() OVER (PARTITION BY r ORDER BY s DESC) AS back FROM runs),
+kept AS (
+  SELECT g.r, count(*) AS n_spans, sum(g.e - g.s) AS n_removed,
+    string_agg(substr(t.h, 2 * since + 1, 2 * (g.s - since)) || CASE WHEN back = 1 THEN substr(t.h, 2 * g.e + 1) ELSE '' END, '' ORDER BY g.s) AS h
+  FROM gaps g JOIN texts t ON g.r = t.r GROUP BY g.r)
+SELECT t.doc_id, (length(t.h) // 2)::BIGINT AS n_bytes, coalesce(k.n_removed, 0)::BIGINT AS n_removed, coalesce(k.n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(coalesce(k.h, t.h))) AS kept_sha256
+FROM texts t LEFT JOIN kept k ON t.r = k.r
+"""
