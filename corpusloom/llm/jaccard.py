@@ -45,6 +45,8 @@ from .words import WordHash, shingle_hashes, word_hashes
 
 SHINGLE_WORDS, PERCENT = 5, 80
 REGION, STAR_ROUNDS = 0.26, 5
+#: Entries of pivot rows (8 bytes each) up to which they are broadcast; beyond, they are joined by a shuffle.
+MOST_BROADCAST = 4_000_000
 _ROWS = 65_536
 
 
@@ -146,6 +148,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = P
     prefixes = scratch.cut(_pairable(scratch.cut(prefixes), percent))
     total = prefixes.count()
     some = prefixes.select("c").distinct()
+    full = scratch.cut(full.join(some, "c", "left_semi"))
     labels = scratch.cut(some.select("c", F.col("c").alias("comp")))
     links = tried = None
 
@@ -169,14 +172,18 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = P
             pairs = groups.join(groups.groupBy("h").agg(F.min(key).alias("p")), "h").where(F.col("comp") != x("comp"))
         # the first column that two rows share passes this test if they reach the threshold
         pairs = pairs.where((F.col("slack") >= percent * x("n")) & (x("slack") >= percent * F.col("n")))
-        near = pairs.select(F.least("c", x("c")).alias("a"), F.greatest("c", x("c")).alias("b")).distinct()
+        near = pairs.groupBy(F.least("c", x("c")).alias("a"), F.greatest("c", x("c")).alias("b")).agg(F.max(x("c")).alias("p"))
         if tried is not None:
             near = near.join(tried, ["a", "b"], "left_anti")
-        near = scratch.cut(near)
-        found = near.join(full.select(F.col("c").alias("a"), F.col("row").alias("x")), "a").join(full.select(F.col("c").alias("b"), F.col("row").alias("y")), "b")
+        near = scratch.cut(near.select("a", "b", "p", F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("q")))
+        rows_of = lambda c, into: full.select(F.col("c").alias(c), F.col("row").alias(into))
+        pivots = scratch.cut(rows_of("p", "y").join(near.select("p").distinct(), "p", "left_semi"))
+        small = (pivots.agg(F.sum(F.size("y"))).first()[0] or 0) <= MOST_BROADCAST
+        found = near.join(rows_of("q", "x"), "q").join(F.broadcast(pivots) if small else pivots, "p")
         found = found.withColumn("overlap", F.size(F.array_intersect("x", "y"))).where(_enough(percent, F.col("overlap"), F.size("x"), F.size("y")))
         found = scratch.cut(found.select("a", "b"))
         links = found if links is None else links.unionByName(found)
+        near = near.select("a", "b")
         tried = near if tried is None else tried.unionByName(near)
         la, lb = (labels.select(F.col("c").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
         roots = components(found.join(la, "a").join(lb, "b"), scratch, "ca", "cb")
