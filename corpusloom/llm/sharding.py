@@ -4,7 +4,7 @@ Documents are linked if they share a key (here: equal texts). They start dealt o
 the order of a hash. In each round every document votes for the shard where most of its
 neighbours are (its keys' counts by shard, so no pairs are made); the proposals of a shard are
 taken in the order of a hash, whole keys at a time, as far as the shard's quota of room goes.
-Documents without links are the ballast that makes room. At the end keys that lie in one shard
+Documents without links are the ballast that makes room. At the end keys that a shard took
 stay there; keys that found no room, or are larger than a shard, are laid out side by side over
 the room left, so that they are cut only where a shard ends; ballast fills the rest. The counts
 are then even to one row by construction.
@@ -49,28 +49,27 @@ def balanced_labels(rows: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     # the even start: the place of each linked row in a hash order decides its shard; of all rows of a key, only counts by shard are kept
     linked = rows.join(groups, "grp")
     first = F.pmod(F.xxhash64("row", F.lit(11)), F.lit(shards)).cast("int")
-    held = scratch.cut(linked.groupBy("grp", first.alias("shard")).agg(F.count("*").alias("k"), F.count("*").alias("vote")))
+    held = scratch.cut(linked.groupBy("grp", first.alias("shard")).agg(F.count("*").alias("k"), F.count("*").alias("vote")).withColumn("done", F.lit(False)))
     for step in range(rounds):
         # votes of a key's rows: the shard that holds most of their neighbours; ties by a hash of the round
-        best = held.groupBy("grp").agg(F.max(F.struct(F.col("vote"), F.xxhash64("grp", "shard", F.lit(step)).alias("tie"), F.col("shard"))).alias("best"), F.sum("k").alias("size"), F.count("*").alias("spread"))
-        full = dict(best.where("spread = 1").groupBy("best.shard").agg(F.sum("size").alias("n")).collect())  # a number for each shard
+        best = held.where("not done").groupBy("grp").agg(F.max(F.struct(F.col("vote"), F.xxhash64("grp", "shard", F.lit(step)).alias("tie"), F.col("shard"))).alias("best"), F.sum("k").alias("size"))
+        full = dict(held.where("done").groupBy("shard").agg(F.sum("k").alias("n")).collect())  # a number for each shard
         quota = [room[k] - full.get(k, 0) for k in range(shards)]
-        asks = best.where("spread > 1").select("grp", F.col("best.shard").alias("to"), "size")
+        asks = best.select("grp", F.col("best.shard").alias("to"), "size")
         bucket = F.pmod(F.xxhash64("grp", F.lit(step + 100)), F.lit(buckets_for(max(1, n // 4))))
         asks = ranked(asks, bucket.cast("long"), [F.col("size"), F.col("grp")], ["to"], "before", F.col("size"))
         limits = F.array(*[F.lit(q).cast("long") for q in quota])
         moved = asks.where(F.col("before") + F.col("size") <= F.element_at(limits, F.col("to") + 1)).select(F.col("grp").alias("g"), "to")
         after = held.join(moved, F.col("grp") == F.col("g"), "left")
-        after = after.groupBy("grp", F.coalesce("to", "shard").alias("shard")).agg(F.sum("k").alias("k"), F.sum("vote").alias("vote"))
+        after = after.groupBy("grp", F.coalesce("to", "shard").alias("shard")).agg(F.sum("k").alias("k"), F.sum("vote").alias("vote"), (F.max("done") | F.max("to").isNotNull()).alias("done"))
         # a key that found no room there votes for another shard in the next round
         refused = asks.where(F.col("before") + F.col("size") > F.element_at(limits, F.col("to") + 1)).select(F.col("grp").alias("g"), "to")
-        after = after.join(refused, (F.col("grp") == F.col("g")) & (F.col("shard") == F.col("to")), "left").select("grp", "shard", "k", F.when(F.col("g").isNull(), F.col("vote")).otherwise(-1).alias("vote"))
+        after = after.join(refused, (F.col("grp") == F.col("g")) & (F.col("shard") == F.col("to")), "left").select("grp", "shard", "k", F.when(F.col("g").isNull(), F.col("vote")).otherwise(-1).alias("vote"), "done")
         after = scratch.cut(after)
         scratch.drop(held)
         held = after
     sizes = groups.withColumnRenamed("grp", "g")
-    settled = held.groupBy("grp").agg(F.count("*").alias("spread"), F.max("shard").alias("shard")).where("spread = 1").drop("spread")
-    settled = scratch.cut(settled.join(sizes, F.col("grp") == F.col("g")).select("g", "shard", "size"))
+    settled = scratch.cut(held.where("done").select(F.col("grp").alias("g"), "shard", F.col("k").alias("size")))
     used = dict(settled.groupBy("shard").agg(F.sum("size").alias("n")).collect())
     free = list(accumulate(room[k] - used.get(k, 0) for k in range(shards)))
 

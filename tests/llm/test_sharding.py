@@ -9,6 +9,7 @@ CASES = {
     "empty": [],
     "few": [(1, "a"), (2, "a"), (3, None)],
     "ties and repeats": [(i // 2, "same" if i % 3 else f"t{i}") for i in range(101)],
+    "only repeated rows": [(i % 60, f"t{i % 60}") for i in range(177)],
     "hot": [(i, "hot" if i < 400 else f"g{i // 5}" if i < 700 else f"u{i}") for i in range(1003)],
     "very hot": [(i, "hot" * 2000 if i < 9000 else f"g{i // 40}") for i in range(10_000)],
 }
