@@ -21,6 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows and bytes that an Arrow batch of texts holds at most.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch sizes: batches of whole texts are buffered outside of the heap by every task, several times over."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage, and survive lost executors."""
 

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, table
+from .common import Scratch, components, small_batches, table
 from .words import WordHash, shingle_hashes, word_hashes
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -116,6 +116,7 @@ class Joined:
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT, region: float = REGION, doc_id: str = "doc_id", text: str = "text") -> Joined:
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     sizes = scratch.cut(rows.mapInArrow(_sizes(k, percent, region), "doc_id long, n long, c long, inside long, cols array<long>"))

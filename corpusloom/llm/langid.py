@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .linear import Sparse, fit
 
 UNKNOWN = "und"
@@ -152,6 +152,7 @@ def _predictor(model: Coder):
 
 def predict_languages(docs: DataFrame, model: Coder, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, ambiguous) of each row; a narrow map over whole texts."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(_predictor(model), f"doc_id {kind}, lang_pred string, score double, ambiguous boolean")

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, small_batches, table
 from .words import WordHash, mix64, shingle_hashes, word_hashes
 
 TERM_WORDS, BITS = 3, 128
@@ -157,6 +157,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """FIELDS of each row of docs."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     dealt = rows.mapInArrow(_dealer(*ranges(rows, rows_per_range)), "doc_id long, text string, part long, halo int")
     dealt = dealt.repartition("part").sortWithinPartitions("part", "halo", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import small_batches, table
 from .linear import Sparse, fit, sigmoid
 from .words import WordHash
 
@@ -127,6 +127,7 @@ def train_chain(hashes: list[np.ndarray], labels: np.ndarray, folds: np.ndarray,
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> Chain:
     """Learns the chain from a sample of labelled documents of at most about sample_rows rows."""
+    small_batches(docs.sparkSession)
     names = [n for n, _ in categories]
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(*[F.max(F.expr(f"cast(({c}) as int)")).alias(n) for n, c in categories])
     share = sample_rows / max(1, marks.count())
@@ -171,6 +172,7 @@ def _scorer(chain: Chain):
 
 def score_toxicity(docs: DataFrame, chain: Chain, reject: str = REJECT, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns keep of docs (default all), p_<category> for each category, and rejected (boolean). A narrow map."""
+    small_batches(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     fields = [T.StructField(f"c{i}", docs.schema[k].dataType) for i, k in enumerate(keep)]
     made = [T.StructField(f"c{len(keep) + j}", T.DoubleType()) for j in range(len(chain.names))]
