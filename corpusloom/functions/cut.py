@@ -16,5 +16,7 @@ def cut(df: DataFrame) -> DataFrame:
         top = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", top)
     path = f"{top.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     df.write.parquet(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)  # with the session's end
     return spark.read.schema(df.schema).parquet(path)
