@@ -37,6 +37,13 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.top = spark, f"{shared_dir(spark)}/corpusloom-{uuid.uuid4().hex}"
         self.n, self.paths = 0, {}
+        path = self._path(self.top)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)  # with the session's end
+
+    def _path(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
 
     def cut(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -49,7 +56,7 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         """Deletes the table behind a DataFrame that cut() returned."""
         if found := self.paths.pop(id(df), None):
-            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found[0])
+            path = self._path(found[0])
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
