@@ -60,6 +60,15 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a few numbers each up to which a written table is broadcast (some tens of MB); beyond, it is joined by a shuffle.
+MOST_BROADCAST_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
+    """A written table of ids or numbers, marked for broadcast if its count allows it."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def ranked(df: DataFrame, bucket: Column, order: list[Column], by: list[str], into: str, weight: Column | None = None) -> DataFrame:
     """Adds the running sum of weight (default 1) before each row, within by, in the order of (bucket, order).
 

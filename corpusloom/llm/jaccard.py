@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, small_batches, table
+from .common import Scratch, components, if_small, small_batches, table
 from .words import WordHash, shingle_hashes, word_hashes
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -131,30 +131,29 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = P
     counts = entries.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h", "m")
     shared = entries.join(counts, "h").groupBy("h", "c").agg(F.max("m").alias("m"), F.max("i").alias("i"))
     # the place of each shared column in its row: columns of one class come first in the region
-    placed = scratch.cut(shared).join(classes, "c")
+    placed = scratch.cut(shared).join(if_small(classes), "c")
     inner = placed.where("i is null").withColumn("at", F.col("inside") - F.count("*").over(Window.partitionBy("c")) + F.row_number().over(order) - 1)
     placed = inner.unionByName(placed.where("i is not null").withColumn("at", F.col("i").cast("long"))).where(F.col("at") < prefix)
-    some = scratch.cut(placed.select("c", F.col("rep").alias("doc_id")).distinct())
+    some = if_small(scratch.cut(placed.select("c", F.col("rep").alias("doc_id")).distinct()))
 
     # all other rows have no partner; among those left, all columns are counted and ordered anew
-    full = rows.join(some.select("doc_id").distinct(), "doc_id", "left_semi").select("text").mapInArrow(_rows(k), "c long, row array<long>")
-    full = scratch.cut(full.dropDuplicates(["c"]).join(some.select("c"), "c", "left_semi"))
+    full = rows.join(some, "doc_id", "left_semi").select("text").mapInArrow(_rows(k), "c long, row array<long>")
+    full = scratch.cut(full.join(some, "c", "left_semi").dropDuplicates(["c"]))
     entries = full.select("c", F.explode("row").alias("h"))
     counts = entries.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    placed = entries.join(counts, "h").join(classes.select("c", "n"), "c")
+    placed = entries.join(counts, "h").join(if_small(classes).select("c", "n"), "c")
     placed = placed.withColumn("at", F.col("n") - F.count("*").over(Window.partitionBy("c")) + F.row_number().over(order) - 1)
     # slack: what 100 + percent times the most that may still overlap leaves for the partner's size; pairs need slack >= percent * n both ways
     slack = (100 + percent) * (F.col("n") - F.col("at")) - percent * F.col("n")
     prefixes = _pairable(placed.where(F.col("at") < prefix).select("h", "c", "n", slack.alias("slack")), percent)
     prefixes = scratch.cut(_pairable(scratch.cut(prefixes), percent))
     total = prefixes.count()
-    some = prefixes.select("c").distinct()
-    full = scratch.cut(full.join(some, "c", "left_semi"))
-    labels = scratch.cut(some.select("c", F.col("c").alias("comp")))
+    labels = scratch.cut(prefixes.select("c", F.col("c").alias("comp")).distinct())
+    full = scratch.cut(full.join(if_small(labels), "c", "left_semi"))
     links = tried = None
 
     for step in range(STAR_ROUNDS + 1):
-        mine = prefixes.join(labels, "c")
+        mine = prefixes.join(if_small(labels), "c")
         open_h = mine.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
         groups = scratch.cut(mine.join(open_h.select("h", "m"), "h"))
         # pairs of different components over all columns: sum of (m^2 - sum of squares by component) / 2
