@@ -41,7 +41,7 @@ SCORES = {
     "oldcard": (0.1, 0.4, 0.3, "card|visa|credit|karte|carte|tarjeta"),
 }
 THRESHOLD, CONTEXT = 0.75, 40
-BYTE = r"^0*+(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
+BYTE = r"^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$"
 
 
 def _digits(match: Column) -> Column:

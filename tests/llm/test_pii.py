@@ -49,6 +49,14 @@ def test_base_equals_brute_force(spark):
     assert got == {i: brute(t) for i, t in enumerate(TEXTS)}
 
 
+def test_ips_with_parts_of_zeros(spark):
+    texts = ["10.0.0.1 and 127.0.0.1, 192.168.0.1", "0.0.0.0", "1.00.2.3 000.0000.00.0", "0.0.0.256 00256.1.1.1 0.0.0.1000", "0" * 4000 + ".0.0.1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [tuple(s) for s in r.base] for r in pii.find_pii(df).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+    assert [len(got[i]) for i in range(5)] == [3, 1, 2, 0, 1]
+
+
 def test_added_spans(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string")
     got = {r.doc_id: [s.kind for s in r["all"]] for r in pii.find_pii(df).collect()}
