@@ -10,6 +10,12 @@ BLOCKS - radius blocks, keyed by those blocks' bits. Fingerprints within the rad
 most radius blocks, so they agree on the key of at least one table: all are found. Equal
 fingerprints are looked up once, whatever the number of their documents.
 
+Counts (near_counts): near copies at a Jaccard similarity of 0.8 of five-word shingles lie up to
+about NEAR of 128 bits apart, too far for keys of whole blocks. 128 bits are cut into 8 blocks of
+16; fingerprints within NEAR < 8 * (FLIPS + 1) differ by at most FLIPS bits in some block, so each
+query looks up its blocks with up to FLIPS bits flipped: all are found. Only counts leave a task,
+never pairs.
+
 Neighbours (pair_with_next): documents are dealt to ranges of the id cut at quantiles; each
 range also receives the first row of the next one (a halo), so that no task needs more than its range
 and texts are shuffled once.
@@ -36,6 +42,8 @@ from .words import WordHash, mix64, shingle_hashes, word_hashes
 
 TERM_WORDS, BITS = 3, 128
 BLOCKS, RADIUS = 5, 3
+NEAR, FLIPS = 23, 2
+MARKS_PER_TASK, ASKED_PER_TASK, CANDIDATES = 250_000, 500_000, 1 << 20
 ROWS_PER_RANGE, MOST_RANGES = 1_000, 20_000
 PIECE = 1 << 15
 
@@ -192,10 +200,60 @@ def near(marks: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int
     return found.groupBy("query", F.col("mark").alias("found")).agg(F.first("distance").alias("distance"), F.first("n").alias("n"))
 
 
+def _counter(radius: int, flips: int, most: int = CANDIDATES):
+    """Of a table of marks (hi, lo, n) and one of queries (query, hi, lo): each query with the sum of n over the marks within radius."""
+    masks = np.array([sum(1 << b for b in bits) for k in range(flips + 1) for bits in combinations(range(16), k)], np.uint16)
+
+    def words(table: pa.Table) -> np.ndarray:
+        return np.column_stack([table.column(c).to_numpy().astype(np.int64, copy=False) for c in ("hi", "lo")]).view(np.uint64)
+
+    def count(marks: pa.Table, asked: pa.Table) -> pa.Table:
+        m, q, n, total = words(marks), words(asked), marks.column("n").to_numpy(), np.zeros(asked.num_rows, np.int64)
+        m_blocks, q_blocks = m.view(np.uint16).reshape(-1, 8), q.view(np.uint16).reshape(-1, 8)
+        for k in range(8 if len(m) and len(q) else 0):
+            order = np.argsort(m_blocks[:, k], kind="stable")
+            starts = np.searchsorted(m_blocks[order, k], np.arange((1 << 16) + 1))
+            for mask in masks:
+                at = q_blocks[:, k] ^ mask
+                first, many = starts[at], starts[at.astype(np.int64) + 1] - starts[at]
+                ends = np.cumsum(many)
+                for low in range(0, int(ends[-1]), most):  # candidates low to high, in order of the queries
+                    place = np.arange(low, min(low + most, int(ends[-1])))
+                    i = np.searchsorted(ends, place, side="right")
+                    j = order[first[i] + place - (ends[i] - many[i])]
+                    near = np.bitwise_count(m[j] ^ q[i]).sum(1) <= radius
+                    i, j = i[near], j[near]
+                    if len(i):
+                        # a pair counts at the first of its blocks that are alike
+                        fresh = (np.bitwise_count(m_blocks[j, :k] ^ q_blocks[i, :k]) > flips).all(1)
+                        np.add.at(total, i[fresh], n[j[fresh]])
+        return pa.table({"query": asked.column("query"), "near": pa.array(total, pa.int64())})
+
+    return count
+
+
+def near_counts(marks: DataFrame, queries: DataFrame, radius: int = NEAR, flips: int = FLIPS, marks_per_task: int = MARKS_PER_TASK, asked_per_task: int = ASKED_PER_TASK, mark: str = "fingerprint") -> DataFrame:
+    """(query, near): for each distinct fingerprint of queries the number of rows of marks within radius of it.
+
+    Both sides are collapsed to distinct fingerprints and dealt to parts; each pair of parts is a task.
+    """
+    if radius >= 8 * (flips + 1):
+        raise ValueError(f"{flips} flips in each of 8 blocks do not find all within {radius}")
+    half = lambda at: F.conv(F.substring("query", at, 16), 16, -10).cast("long")
+    shape = lambda df: df.where(F.col(mark).isNotNull()).groupBy(F.col(mark).alias("query")).agg(F.count("*").alias("n")).select("query", "n", half(1).alias("hi"), half(17).alias("lo"))
+    parts, asked_parts = (max(1, -(-df.count() // most)) for df, most in ((marks, marks_per_task), (queries, asked_per_task)))
+    place = lambda n: F.pmod(F.xxhash64("hi", "lo"), F.lit(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = shape(marks).select("hi", "lo", "n", place(parts).alias("p"), others(asked_parts).alias("a"))
+    right = shape(queries).select("query", "hi", "lo", others(parts).alias("p"), place(asked_parts).alias("a"))
+    found = left.groupBy("p", "a").cogroup(right.groupBy("p", "a")).applyInArrow(_counter(radius, flips), "query string, near long")
+    return found.groupBy("query").agg(F.sum("near").alias("near"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also n_near: for rows whose id is divisible by 20, the number of other documents within RADIUS."""
+    """Also n_near: for rows whose id is divisible by 20, the number of other documents within NEAR."""
     made = Scratch(spark).cut(fingerprint_documents(table(spark, sf_dir, "documents")))
     asks = F.col("doc_id") % 20 == 0
-    counts = near(made, made.where(asks)).groupBy("query").agg(F.sum("n").alias("near"))
+    counts = near_counts(made, made.where(asks))
     joined = made.join(counts, (F.col("fingerprint") == F.col("query")) & asks, "left")
     return joined.select(*FIELDS, F.when(asks, F.col("near") - 1).alias("n_near"))

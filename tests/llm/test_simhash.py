@@ -48,3 +48,40 @@ def test_search_finds_all_within_radius(spark):
     got = {(r["query"], r.found): (r.distance, r.n) for r in simhash.near(df, df).collect()}
     want = {(f"{a:032x}", f"{b:032x}"): ((a ^ b).bit_count(), marks.count(b)) for a in set(marks) for b in set(marks) if (a ^ b).bit_count() <= 3}
     assert got == want
+
+
+def test_counts_equal_brute_force(spark):
+    import random
+
+    draw = random.Random(2)
+    base = [draw.getrandbits(128) for _ in range(30)]
+    marks = base + [b ^ sum(1 << k for k in draw.sample(range(128), d)) for b in base for d in (0, 3, 16, 20, 22, 23, 24, 30)]
+    marks += [base[0] ^ sum(1 << k for k in range(128) if k % 16 in (5, 11, 15) and k // 16 < 7) ^ 3, 0, (1 << 128) - 1]
+    df = spark.createDataFrame([(f"{m:032x}",) for m in marks], "fingerprint string")
+    asked = df.limit(40)
+    want = {f"{a:032x}": sum((a ^ b).bit_count() <= simhash.NEAR for b in marks) for a in marks[:40]}
+    for sizes in ((1000, 1000), (60, 15)):
+        got = {r["query"]: r.near for r in simhash.near_counts(df, asked, marks_per_task=sizes[0], asked_per_task=sizes[1]).collect()}
+        assert got == want
+    assert simhash.near_counts(df.where("false"), asked).where("near > 0").count() == 0
+
+
+def test_near_copies_are_counted(spark, tmp_path):
+    import random
+
+    draw, rows, want = random.Random(3), [], {}
+    for g in range(40):  # a text of 250 words and copies of it with 2 to 4 words changed, Jaccard of five-word shingles 0.8 or more
+        text, copies = [f"w{draw.randrange(3000)}" for _ in range(250)], []
+        shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+        for c in range(4):
+            other = list(text)
+            for at in draw.sample(range(250), c and c + 1):
+                other[at] = f"x{draw.randrange(3000)}"
+            copies.append(other)
+            rows.append((20 * g if c == 0 else 20 * g + c, " ".join(other)))
+        alike = [len(shingles(text) & shingles(o)) / len(shingles(text) | shingles(o)) for o in copies[1:]]
+        want[20 * g] = sum(a >= 0.8 for a in alike)
+        assert want[20 * g] == 3
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.n_near for r in simhash.op4_fingerprints(spark, str(tmp_path)).collect() if r.n_near is not None}
+    assert got == want
