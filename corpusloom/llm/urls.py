@@ -30,7 +30,11 @@ RULES = (
     ("allow", "com", "/fr/"),
     ("block", "com", "/de/"),
 )
-DAMPING, ROUNDS, THRESHOLD = 0.85, 12, 0.5
+DAMPING, THRESHOLD = 0.85, 0.5
+#: Rounds after which less than TOLERANCE of any walk is left (0.85^128 = 9e-10); more follow while a host's rank still grows by more than that share of itself.
+TOLERANCE, ROUNDS = 1e-9, 128
+#: Rounds between two written tables; digits of a share that count.
+STEPS, DIGITS = 4, 7
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -71,23 +75,34 @@ def host_edges(pages: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.cut(links.unionByName(tree.withColumn("weight", F.lit(1.0))).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
 
 
-def personalised_rank(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """(host, rank) of a walk along edges(src, dst, weight) that restarts at seeds(host, seed) with 1 - damping; ranks of hosts without out-edges restart too."""
-    total = seeds.agg(F.sum("seed").alias("total"))
-    start = scratch.cut(seeds.crossJoin(F.broadcast(total)).where("total > 0").select("host", (F.col("seed") / F.col("total")).alias("seed")))
-    out = edges.groupBy("src").agg(F.sum("weight").alias("out")).withColumnRenamed("src", "s")
-    flow = scratch.cut(edges.join(out, F.col("src") == F.col("s")).select("src", "dst", (F.col("weight") / F.col("out")).alias("share")))
-    rank = scratch.cut(start.select("host", F.col("seed").alias("rank")))
-    for _ in range(rounds):
-        sent = rank.join(flow, F.col("host") == F.col("src")).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        # what is neither restarted nor sent on goes back to the seeds, so that ranks sum to 1
-        kept = scratch.cut(sent.groupBy("host").agg(F.sum("rank").alias("rank")))
-        lost = kept.agg((1 - F.coalesce(F.sum("rank"), F.lit(0.0))).alias("lost"))
-        back = start.crossJoin(F.broadcast(lost)).select("host", (F.col("seed") * F.col("lost")).alias("rank"))
-        after = scratch.cut(kept.unionByName(back).groupBy("host").agg(F.sum("rank").alias("rank")))
-        scratch.drop(rank)
+def personalised_ranks(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+    """(walk, host, rank) of walks along edges(walk, src, dst, weight) that restart at seeds(walk, host, seed) with 1 - damping; ranks of hosts without out-edges restart too.
+
+    Such ranks are the sum over k of (damping * flow)^k from the seeds, scaled to 1 in each walk. The
+    sum only grows: it ends when, after the given rounds, no host's rank grows by more than
+    tolerance of itself, which a host that is just reached always does.
+    """
+    total = seeds.groupBy("walk").agg(F.sum("seed").alias("total")).where("total > 0")
+    start = scratch.cut(seeds.join(F.broadcast(total), "walk").select("walk", "host", (F.col("seed") / F.col("total")).alias("rank")))
+    out = edges.groupBy("walk", "src").agg(F.sum("weight").alias("out"))
+    flow = scratch.cut(edges.join(out, ["walk", "src"]).select("walk", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out") * damping).alias("share")))
+    rank, done = start, 0
+    while True:
+        after = rank
+        for _ in range(STEPS):
+            before = after
+            sent = before.join(flow, ["walk", "host"]).select("walk", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
+            after = start.unionByName(sent).groupBy("walk", "host").agg(F.sum("rank").alias("rank"))
+        after, done = scratch.cut(after), done + STEPS
+        grown = rank.select("walk", "host", F.col("rank").alias("was"))
+        ended = done >= rounds and after.join(grown, ["walk", "host"], "left").where(F.col("was").isNull() | (F.col("rank") - F.col("was") > tolerance * F.col("rank"))).isEmpty()
+        if rank is not start:
+            scratch.drop(rank)
         rank = after
-    return rank
+        if ended:
+            break
+    whole = rank.groupBy("walk").agg(F.sum("rank").alias("whole"))
+    return rank.join(F.broadcast(whole), "walk").select("walk", "host", (F.col("rank") / F.col("whole")).alias("rank"))
 
 
 def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -99,13 +114,15 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, page_id:
     seeds = judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("fit.verdict") == "allow").cast("double").alias("good"), F.count_if(F.col("fit.verdict") == "block").cast("double").alias("bad"))
     seeds = scratch.cut(seeds)
     edges = host_edges(rows.select("host", "html"), scratch)
-    reverse = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")
-    trust = personalised_rank(edges, seeds.where("good > 0").select("host", F.col("good").alias("seed")), scratch)
-    distrust = personalised_rank(reverse, seeds.where("bad > 0").select("host", F.col("bad").alias("seed")), scratch)
-    marks = trust.select("host", F.col("rank").alias("trust"), F.lit(0.0).alias("distrust")).unionByName(distrust.select("host", F.lit(0.0).alias("trust"), F.col("rank").alias("distrust")))
-    marks = scratch.cut(marks.groupBy(F.col("host").alias("h")).agg(F.round(F.sum("trust"), 9).alias("trust"), F.round(F.sum("distrust"), 9).alias("distrust")))
+    both = edges.select(F.lit("trust").alias("walk"), "src", "dst", "weight").unionByName(edges.select(F.lit("distrust").alias("walk"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    starts = seeds.where("good > 0").select(F.lit("trust").alias("walk"), "host", F.col("good").alias("seed")).unionByName(seeds.where("bad > 0").select(F.lit("distrust").alias("walk"), "host", F.col("bad").alias("seed")))
+    ranks = personalised_ranks(both, starts, scratch)
+    of = lambda walk: F.sum(F.when(F.col("walk") == walk, F.col("rank")).otherwise(0.0)).alias(walk)
+    marks = scratch.cut(ranks.groupBy(F.col("host").alias("h")).agg(of("trust"), of("distrust")))
     out = judged.join(marks, F.col("host") == F.col("h"), "left").drop("h").fillna(0.0, ["trust", "distrust"])
-    bad = (F.col("distrust") > 0) & (F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")))
+    # of the share alone, what the order of sums leaves open is rounded away; ranks have no floor
+    share = F.when(F.col("distrust") > 0, F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), DIGITS))
+    bad = F.coalesce(share > threshold, F.lit(False))
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce("fit.verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
 
 

@@ -77,3 +77,20 @@ def test_equals_brute_force(spark):
 
 def test_empty(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_small_ranks_count_by_their_share(spark):
+    rules = (("block", "bad.big.net", "/"), ("allow", "good.org", "/"))
+    hosts = [f"h{i}.{'h0.' * k}big.net" for k in range(5) for i in range(200)]
+    # distrust of the last level is below 5e-10; trust, which starts at another tree, does not reach it
+    rows = [(0, "http://bad.big.net/", None), (1, "http://good.org/", None)] + [(2 + i, f"http://{h}/", None) for i, h in enumerate(hosts)]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()
+    assert len(got) == len(rows) and {r.verdict for r in got if r.rule is None} == {"block"}
+    assert 0 < min(r.distrust for r in got if r.rule is None) < 5e-10
+
+
+def test_far_hosts_are_reached(spark):
+    far = ".".join(["a"] * 15) + ".bad.net"
+    rows = [(0, "http://bad.net/x", None), (1, f"http://{far}/", None), (2, "http://c.org/", None)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), (("block", "bad.net", "/x"),)).collect()}
+    assert [got[i].verdict for i in range(3)] == ["block", "block", "allow"] and got[1].distrust > 0
