@@ -439,7 +439,13 @@ def dag_layers(spark, sf_dir):
 
 @query()
 def barycenter_order(spark, sf_dir):
-    return overview.geometry(graph.diagram(graph.edges_of(_parsed(spark, sf_dir)).where(F.col("strength") == "strong")))
+    return overview.geometry(graph.diagram(graph.edges_of(_parsed(spark, sf_dir))))
+
+
+@query()
+def all_layers(spark, sf_dir):
+    """Layers over all edges but the back edges of a depth-first walk, as the diagram has them."""
+    return graph.diagram(graph.edges_of(_parsed(spark, sf_dir))).select("slug", "layer")
 
 
 @query()

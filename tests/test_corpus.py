@@ -216,3 +216,39 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
         open(os.path.join(folder, f"f{k}.md"), "w").write(text)
         incremental.write_stream(incremental.parsed_stream(incremental.read_stream(spark, folder)), out, mark).awaitTermination()
     assert sorted(r.title for r in spark.read.parquet(out).collect()) == ["One", "Two"]
+
+
+def test_layout_is_over_all_edges(spark):
+    from corpusloom.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    edges = graph.edges_of(queries._parsed(spark, sf)).collect()
+    out_of = {e[k]: set() for e in edges for k in ("from", "to")}
+    for e in edges:
+        out_of[e["from"]].add(e["to"])
+    assert {e["from"] for e in edges if e["strength"] == "weak"}
+    state, forward, layers = {}, {s: [] for s in out_of}, {}
+
+    def walk(s):
+        state[s] = 1
+        for t in sorted(out_of[s]):
+            if state.get(t) != 1:
+                forward[s].append(t)
+                if t not in state:
+                    walk(t)
+        state[s] = 2
+
+    for s in sorted(out_of):
+        if s not in state:
+            walk(s)
+
+    def layer(s):
+        if s not in layers:
+            layers[s] = max((layer(r) + 1 for r in out_of if s in forward[r]), default=0)
+        return layers[s]
+
+    want = {s: layer(s) for s in out_of}
+    assert {r["slug"]: r["layer"] for r in queries.barycenter_order(spark, sf).collect()} == want
+    assert {r["slug"]: r["layer"] for r in queries.all_layers(spark, sf).collect()} == want
+    strong = graph.edges_of(queries._parsed(spark, sf)).where("strength = 'strong'")
+    assert {r["slug"]: r["layer"] for r in graph.diagram(strong).collect()} != want
