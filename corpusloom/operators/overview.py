@@ -145,30 +145,40 @@ def findings_per_file(findings: DataFrame) -> DataFrame:
     return findings.select(F.explode(F.array_distinct("files")).alias("slug")).where("slug <> ''").groupBy("slug").agg(F.count("*").alias("findings"))
 
 
-def linkify(findings: DataFrame, ids: DataFrame, columns: tuple[str, ...], most_ids: int = 1_000_000) -> DataFrame:
+def linkify(findings: DataFrame, ids: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """findings with the columns escaped, and section ids in them turned into links that show the section's title; the longest id wins.
 
-    ids(id, title) go to every task as one pattern, so their number is checked; a page cannot
-    link more.
+    Pieces of the texts as long as some id are joined to ids(id, title), so that a text meets only
+    the ids it holds, whatever their number.
     """
-    if (n := ids.count()) > most_ids:
-        raise ValueError(f"{n} section ids are more than a page can link")
-    titles = {r["id"]: r["title"] for r in ids.collect()}
-    known = re.compile("|".join(map(re.escape, sorted(titles, key=lambda i: (-len(i), i))))) if titles else None
     from html import escape
 
+    ids = cut(ids.where("id <> ''").select(F.col("id").alias("__id"), F.col("title").alias("__title")))
+    lengths = [r[0] for r in ids.select(F.length("__id")).distinct().collect()]  # one number a length
+    # section ids have -- between slug and anchor; if all do, so do the pieces that can be one
+    mark = "" if ids.where(~F.col("__id").contains("--")).limit(1).count() else "--"
+
     @F.pandas_udf(StringType())
-    def linked(texts: pd.Series) -> pd.Series:
-        def one(text: str | None) -> str:
+    def linked(texts: pd.Series, found: pd.Series) -> pd.Series:
+        def one(text: str | None, here) -> str:
             text, out, at = text or "", [], 0
+            titles = {x["id"]: x["title"] for x in here} if here is not None else {}
+            known = re.compile("|".join(map(re.escape, sorted(titles, key=lambda i: (-len(i), i))))) if titles else None
             for m in known.finditer(text) if known else ():
                 out += [escape(text[at : m.start()]), f'<a href="#{escape(m[0])}">{escape(titles[m[0]])}</a>']
                 at = m.end()
             return "".join([*out, escape(text[at:])])
 
-        return texts.map(one)
+        return pd.Series([one(t, f) for t, f in zip(texts, found, strict=True)], dtype=object)
 
-    return findings.withColumns({c: linked(F.col(c)) for c in columns})
+    for c in columns:
+        texts = findings.select(F.col(c).alias("__text")).where(F.col("__text").contains(mark)).distinct()
+        sizes = texts.select("__text", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("n")).where(F.length("__text") >= F.col("n"))
+        pieces = sizes.select("__text", "n", F.explode(F.sequence(F.lit(1), F.length("__text") - F.col("n") + 1)).alias("i"))
+        pieces = pieces.select("__text", F.col("__text").substr(F.col("i"), F.col("n")).alias("__id")).where(F.col("__id").contains(mark))
+        held = pieces.join(ids, "__id").groupBy("__text").agg(F.collect_set(F.struct(F.col("__id").alias("id"), F.col("__title").alias("title"))).alias("__found"))
+        findings = findings.join(held, F.col(c) == F.col("__text"), "left").withColumn(c, linked(F.col(c), F.col("__found"))).drop("__text", "__found")
+    return findings
 
 
 def findings_zone(findings: DataFrame, files: DataFrame, headings: DataFrame) -> DataFrame:
