@@ -28,7 +28,8 @@ from .common import small_batches, table
 from .linear import Sparse, fit
 
 UNKNOWN = "und"
-PER_LANGUAGE, MOST_LANGUAGES = 600, 200
+#: Of more than MANY_LANGUAGES languages, each has fewer than PER_LANGUAGE rows in the sample; all are learned.
+PER_LANGUAGE, MANY_LANGUAGES = 600, 200
 SLOTS = 1 << 16
 PIECE = 1 << 18
 AMBIGUOUS = 0.2
@@ -100,11 +101,12 @@ class Coder:
 def fit_languages(docs: DataFrame, learn: Column | None = None, per_language: int = PER_LANGUAGE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Coder:
     """Learns from at most about per_language documents of each language among the rows where learn holds."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.lit(True) if learn is None else learn))
-    counts = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()  # one row a language
+    counts = rows.groupBy(F.col(lang).alias("lang")).count().collect()  # one row a language
     languages = sorted(r["lang"] for r in counts)
     if not languages:
         return Coder([], np.ones((0, 0)), np.zeros((SLOTS, 0), np.float32), np.zeros(0), np.zeros(0))
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], int(min(1.0, per_language / r["count"]) * 1_000_000))])
+    most = max(1, min(per_language, per_language * MANY_LANGUAGES // len(languages)))
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(1, int(min(1.0, most / r["count"]) * 1_000_000)))])
     place = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1_000_000))
     sample = rows.where(place < F.try_element_at(share, F.col(lang))).select(F.col(doc_id).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
     got = sample.mapInArrow(_histogram, "id string, lang string, slots binary, shares binary").orderBy("id", "lang", F.xxhash64("slots", "shares")).toArrow()

@@ -94,3 +94,17 @@ def test_codewords_differ_widely():
         code = langid.codewords(n).astype(int)
         apart = [(code[i] != code[j]).sum() for i in range(n) for j in range(i)]
         assert min(apart) >= (1 if n == 2 else 2 ** (n - 2) if n <= 5 else code.shape[1] // 5)
+
+
+def test_every_language_is_learned(spark):
+    import hashlib
+
+    from corpusloom.llm import langid
+
+    word = lambda n: "".join(chr(97 + b % 26) for b in hashlib.sha256(str(n).encode()).digest()[:12])
+    rows = [(10 * n + k, " ".join(word((n, j)) for j in range(8)), f"l{n:03}") for n in range(203) for k in range(3 if n < 202 else 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_languages(df)
+    assert model.languages == [f"l{n:03}" for n in range(203)]
+    got = {r.doc_id: r.lang_pred for r in langid.predict_languages(df, model).collect()}
+    assert got[2020] == "l202" and sum(got[i] == v for i, _, v in rows) > 0.95 * len(rows)
