@@ -179,6 +179,15 @@ def esc(c: Column) -> Column:
     return out
 
 
+def quoted(c: Column) -> Column:
+    """The text between quotes: single ones, or double ones if it holds only single ones; backslashes and line ends escaped."""
+    out = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for raw, code in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        out = F.replace(out, F.lit(raw), F.lit(code))
+    single, double = F.contains(c, F.lit("'")), F.contains(c, F.lit('"'))
+    return F.when(single & ~double, F.concat(F.lit('"'), out, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(out, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
 def truncate(c: Column, n: int) -> Column:
     cut = F.regexp_replace(F.substring(c, 1, max(1, n - 1)), rf"{SPACE}+\z", "")
     return F.when(F.length(c) > n, F.concat(cut, F.lit("…"))).otherwise(F.coalesce(c, F.lit("")))
@@ -196,12 +205,13 @@ def contract_present(needle: Column, hay: Column) -> Column:
     """Whether normalised words are in a normalised text: as a substring, or in order within max(3 n, n + 20) words.
 
     From each place of the first word a fold over that many words takes matches greedily, which
-    finds the earliest end, so that no longer stretch has to be looked at.
+    finds the earliest end, so that no longer stretch has to be looked at. A word that the text
+    does not have at all settles the question before that.
     """
     nw, hw = F.split(needle, " "), F.split(hay, " ")
     n = F.size(nw)
     span = F.greatest(n * 3, n + 20)
     starts = F.filter(F.sequence(F.lit(1), F.size(hw)), lambda i: F.get(hw, i - 1) == F.get(nw, F.lit(0)))
     got = lambda i: F.aggregate(F.slice(hw, i, span), F.lit(0), lambda k, w: k + F.when((k < n) & (w == F.get(nw, k)), 1).otherwise(0)) == n
-    loose = (n <= F.size(hw)) & F.exists(starts, got)
+    loose = (n <= F.size(hw)) & (F.size(F.array_except(nw, hw)) == 0) & F.exists(starts, got)
     return (needle == "") | F.contains(hay, needle) | F.coalesce(loose, F.lit(False))

@@ -11,7 +11,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html as H
@@ -64,13 +64,41 @@ def external_fetches(documents: DataFrame, key: str, body: str) -> DataFrame:
     return documents.select(key, F.explode(H.fetches(F.col(body))).alias("f")).select(key, "f.label", "f.snippet")
 
 
-def gate_report(files: DataFrame, headings: DataFrame, fragments: DataFrame, contracts: DataFrame, sources: DataFrame) -> DataFrame:
-    """(gate, slug, item) of every violation of the first three gates; empty means that a page may be written."""
-    a = dangling_anchors(files, headings, fragments).select(F.lit("dangling_anchors").alias("gate"), "slug", F.col("href").alias("item"))
-    b = coverage_gaps(files, headings, fragments).select(F.lit("coverage_gaps").alias("gate"), "slug", F.col("id").alias("item"))
+# The gates in their order, and the wording of their failures.
+GATES = ("dangling_anchors", "coverage_gaps", "contract_violations", "external_fetches")
+NO_TARGET = " resolves to no heading id or chrome anchor"
+NOT_COVERED = " not covered by any data-src-heading in the fragment"
+NO_CONTRACT = {"source": ": contract not found in source bytes: ", "fragment": f": contract not found in fragment .{PREFIX}-contract text: "}
+
+
+def gate_report(files: DataFrame, headings: DataFrame, fragments: DataFrame, contracts: DataFrame, sources: DataFrame, pages: DataFrame | None = None) -> DataFrame:
+    """(gate, path, ord, slug, item, message) of every violation; empty means that a page may be written.
+
+    pages(html) are written documents, for the fourth gate. Failures of a gate have the order
+    (path, ord, item): of files by path, of contracts by slug, of pages by kind of resource.
+    """
+    at = files.select("slug", F.col("file_path").alias("path"))
+    a = dangling_anchors(files, headings, fragments).join(at, "slug")
+    a = a.select(F.lit(GATES[0]).alias("gate"), "path", "ord", "slug", F.col("href").alias("item"), F.concat("slug", F.lit(": href "), T.quoted(F.col("href")), F.lit(NO_TARGET)).alias("message"))
+    b = coverage_gaps(files, headings, fragments).join(at, "slug")
+    b = b.select(F.lit(GATES[1]).alias("gate"), "path", F.lit(0).alias("ord"), "slug", F.col("id").alias("item"), F.concat("slug", F.lit(": source heading id "), T.quoted(F.col("id")), F.lit(NOT_COVERED)).alias("message"))
     c = contract_violations(contracts, sources, fragments)
-    c = c.select(F.lit("contract_violations").alias("gate"), "slug", F.concat(F.lit("not in "), "missing_in", F.lit(": "), "needle").alias("item"))
-    return a.unionByName(b).unionByName(c)
+    where = F.when(F.col("missing_in") == "source", NO_CONTRACT["source"]).otherwise(NO_CONTRACT["fragment"])
+    c = c.select(F.lit(GATES[2]).alias("gate"), F.col("slug").alias("path"), F.col("ord").cast("int").alias("ord"), "slug", F.col("needle").alias("item"), F.concat("slug", where, T.quoted(F.col("needle"))).alias("message"))
+    out = a.unionByName(b).unionByName(c)
+    return out if pages is None else out.unionByName(page_failures(pages))
+
+
+def page_failures(pages: DataFrame) -> DataFrame:
+    """The fourth gate's rows of a report: pages(html) that load anything from elsewhere."""
+    rows = pages.select(F.posexplode(H.fetches(F.col("html"))).alias("ord", "f"))
+    return rows.select(F.lit(GATES[3]).alias("gate"), F.lit("").alias("path"), "ord", F.lit("").alias("slug"), F.col("f.snippet").alias("item"), F.concat("f.label", F.lit(": "), T.quoted(F.col("f.snippet"))).alias("message"))
+
+
+def failure_arrays(report: DataFrame) -> DataFrame:
+    """One row with the ordered messages of each gate, for the report of a page."""
+    mine = lambda g: F.collect_list(F.when(F.col("gate") == g, F.struct("path", "ord", "item", "message")))
+    return report.agg(*[F.transform(F.array_sort(mine(g)), lambda x: x["message"]).alias(g) for g in GATES])
 
 
 def reconcile_coverage(files: DataFrame, headings: DataFrame, fragments: DataFrame, sections: DataFrame) -> DataFrame:
@@ -90,19 +118,21 @@ class Reconciled:
     report: DataFrame
 
 
-def _close(source: str, ids: list[tuple[str, str]]) -> str:
-    """The fragment with a hidden span for each (id, section), inside the section's element or at the end."""
-    for one, section in ids:
-        name = html.escape(one, quote=True)
-        span = f'<span id="{name}" data-src-heading="{name}" aria-hidden="true"></span>'
-        at = -1
-        for mark in (f'id="{section}"', f"id='{section}'") if section else ():
-            begin = source.find(mark)
-            at = source.find(">", begin) if begin >= 0 else -1
-            if at >= 0:
-                break
-        source = source[: at + 1] + span + source[at + 1 :] if at >= 0 else source + span
-    return source
+def closed(body: Column, ids: Column) -> Column:
+    """The fragment with a hidden span for each of ids(id, section_id), right behind the first tag with the section's id, or at the end.
+
+    A pattern takes all up to that tag's end; double quotes are looked for before single ones.
+    """
+
+    def put(done: Column, x: Column) -> Column:
+        name = T.esc(x["id"])
+        # Fixed value: the span that stands for a heading.
+        span = F.concat(F.lit('<span id="'), name, F.lit('" data-src-heading="'), name, F.lit('" aria-hidden="true"></span>'))
+        upto = [F.regexp_substr(done, F.concat(F.lit(rf"(?s)\A.*?id={quote}\Q"), x["section_id"], F.lit(rf"\E{quote}[^>]*>"))) for quote in ('"', "'")]
+        head = F.coalesce(*upto, done)
+        return F.concat(head, span, F.substring(done, F.length(head) + 1, F.length(done)))
+
+    return F.aggregate(F.coalesce(ids, F.array().cast("array<struct<id:string,section_id:string>>")), body, put)
 
 
 def _words(text: str) -> str:
@@ -131,15 +161,14 @@ def reconcile(files: DataFrame, headings: DataFrame, fragments: DataFrame, secti
     """
     have = fragments.select("slug", "html").join(files.select("slug"), "slug", "left_semi")
     claimed = reconcile_coverage(files, headings, have, sections).join(have.select("slug"), "slug", "left_semi")
-    closed = claimed.where("section_id is not null").groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("id", "section_id"))).alias("ids"))
+    claims = claimed.where("section_id is not null").groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("id", "section_id"))).alias("ids"))
     wanted = contracts.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("contracts"))
-    rows = have.join(closed, "slug", "left").join(wanted, "slug", "left").join(sources.select("slug", F.col("text").alias("source")), "slug", "left")
+    rows = have.join(claims, "slug", "left").select("slug", "html", closed(F.col("html"), F.col("ids")).alias("body")).join(wanted, "slug", "left").join(sources.select("slug", F.col("text").alias("source")), "slug", "left")
 
     def fold(batches):
         for b in batches:
             out = []
-            for slug, source, ids, wants, text in zip(b["slug"], b["html"], b["ids"], b["contracts"], b["source"], strict=True):
-                body = _close(source, [(x["id"], x["section_id"]) for x in ids] if ids is not None else [])
+            for slug, source, body, wants, text in zip(b["slug"], b["html"], b["body"], b["contracts"], b["source"], strict=True):
                 kept, items, seen, src = [], [], set(), _words(text or "")
                 for c in wants if wants is not None else ():
                     needle = _words(c["text"] or "")
@@ -167,6 +196,15 @@ def reconcile(files: DataFrame, headings: DataFrame, fragments: DataFrame, secti
     return Reconciled(done.select("slug", "html", "changed"), kept, cover.unionByName(report).unionByName(anchors))
 
 
+# Buckets and kinds of a repair's report, in their order.
+BUCKETS, KINDS = ("auto_closed", "genuine_gaps"), ("coverage", "contracts", "anchors")
+
+
+def exit_status(report: DataFrame) -> int:
+    """Of a repair's report: 1 if a genuine gap of some kind is left, else 0."""
+    return int(not report.where((F.col("bucket") == "genuine_gaps") & F.col("kind").isin(*KINDS)).isEmpty())
+
+
 def numbered(df: DataFrame, by: str, order: str) -> DataFrame:
     """Adds ord, from 0, within by."""
     return df.withColumn("ord", F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1)

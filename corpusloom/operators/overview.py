@@ -17,7 +17,7 @@ from pyspark.sql.types import StringType
 from ..functions import html as H
 from ..functions import text as T
 from ..functions.cut import cut
-from . import graph as G
+from . import gates, graph as G
 
 P = H.PREFIX
 # Severities with their icons, and headings of the known types of findings, both in order.
@@ -98,7 +98,7 @@ def graph_zone(files: DataFrame, edges: DataFrame) -> DataFrame:
     order = F.concat(T.dirname(F.col("file_path")), F.lit("\1"), "slug")
     piece = lambda df, step, order, body: df.select(F.lit("GRAPH").alias("zone"), F.concat(F.lit(f"{step}\1"), order).alias("ord"), body.alias("html"))
     chips = piece(files.crossJoin(mode).where("mode = 'chips'"), 0, order, file_link(F.col("slug"), title))
-    placed = geometry(G.diagram(edges))
+    placed = geometry(G.diagram(edges, nodes=files))
     drawn = edges.join(placed.select(F.col("slug").alias("from"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("layer").alias("la")), "from")
     drawn = drawn.join(placed.select(F.col("slug").alias("to"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("layer").alias("lb")), "to").crossJoin(mode).where("mode = 'diagram'")
     down = F.col("lb") > F.col("la")
@@ -262,3 +262,23 @@ def default_shell() -> str:
     styles = " ".join(f".{P}-{h}{{}}" for h in H.HOOKS)
     body = "\n".join("".join(markers(z)) for z in H.ZONES)
     return f'<!DOCTYPE html>\n<html><head><meta charset="utf-8"><style>{styles}</style></head>\n<body id="{P}-top">\n{body}\n</body></html>\n'
+
+
+def page_report(files: DataFrame, edges: DataFrame, findings: DataFrame, failures: DataFrame) -> DataFrame:
+    """One row: counts of files, sections and findings, the graph's mode, and the messages of each gate; failures are rows of gate_report."""
+    facts = files.agg(F.count("*").alias("files"), F.coalesce(F.sum("n_headings"), F.lit(0)).alias("sections"))
+    found = findings.agg(F.count("*").alias("findings"))
+    one = lambda df: F.broadcast(df)  # noqa: E731  a single row
+    row = facts.crossJoin(one(found)).crossJoin(one(G.graph_mode(files, edges).select(F.col("mode").alias("graph_mode"))))
+    return row.crossJoin(one(gates.failure_arrays(failures))).select("files", "sections", "findings", "graph_mode", *gates.GATES)
+
+
+def publish(parts: DataFrame, shell: str, files: DataFrame, edges: DataFrame, findings: DataFrame, failures: DataFrame, path: str) -> dict:
+    """The page's report. The document is written to path only if no gate failed, the fourth one over the whole document included; else nothing is written."""
+    document = write_page(parts, shell)
+    page = parts.sparkSession.createDataFrame([(document,)], "html string")
+    report = page_report(files, edges, findings, failures.unionByName(gates.page_failures(page))).first().asDict(recursive=True)
+    if not any(report[g] for g in gates.GATES):
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(document)
+    return report

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.cut import cut
 
+# Patterns of a front-matter block, a Markdown link and an inline code span.
 FRONT = r"(?s)^---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\z)"
 LINK = r'\[([^\]]*)\]\(([^)\s]+)(?:\s+"[^"]*")?\)'
 CODE = r"`([^`\n]+)`"
@@ -121,29 +123,34 @@ class Structure:
     tokens: DataFrame
 
 
-def parse(corpus: DataFrame) -> Structure:
-    """corpus(file_path, text); rows of null path are left out, null texts count as empty."""
+def parse(corpus: DataFrame, keep: bool = False) -> Structure:
+    """corpus(file_path, text); rows of null path are left out, null texts count as empty.
+
+    keep writes what is parsed of each file, without its text, to the shared folder, for plans
+    that read the structure more than once: texts are then parsed once, whatever the plan.
+    """
     rows = corpus.where("file_path is not null").select("file_path", T.newlines(F.coalesce("text", F.lit(""))).alias("text"))
     rows = with_slugs(rows).withColumn("body", body_of(F.col("text")))
-    heads = rows.select("slug", "file_path", F.posexplode(headings_of(F.col("body"))).alias("pos", "h")).select("slug", "file_path", "pos", "h.level", "h.text")
-    base = heads.withColumn("base", T.anchorize(F.col("text")))
-    again = F.row_number().over(Window.partitionBy("slug", "base").orderBy("pos")) - 1
-    base = base.withColumn("anchor", F.when(again == 0, F.col("base")).otherwise(F.concat("base", F.lit("-"), again)))
-    headings = base.select("slug", "file_path", "pos", "level", "text", "anchor", T.section_id(F.col("slug"), F.col("anchor")).alias("id"))
-    heads = headings_of(F.col("body"))
-    title = F.coalesce(F.get(F.filter(heads, lambda h: h["level"] == 1), F.lit(0))["text"], T.humanize(F.col("file_path")))
-    files = rows.select(
+    rows = rows.select(
         "slug",
         "file_path",
         T.detect_language(F.col("body")).alias("language"),
-        title.alias("title"),
         T.token_estimate(F.col("text")).alias("token_estimate"),
-        F.lit("chars/4").alias("token_estimate_method"),
         front_matter(F.col("text")).alias("front"),
-        F.size(heads).alias("n_headings"),
+        headings_of(F.col("body")).alias("heads"),
+        links_of(F.col("body"), F.col("file_path")).alias("links"),
+        name_tokens_of(F.col("body")).alias("tokens"),
     )
-    links = rows.select("slug", "file_path", F.posexplode(links_of(F.col("body"), F.col("file_path"))).alias("pos", "l")).select("slug", "file_path", "pos", "l.raw", "l.target", "l.type")
-    tokens = rows.select("slug", F.explode(name_tokens_of(F.col("body"))).alias("token"))
+    rows = cut(rows) if keep else rows
+    heads = rows.select("slug", "file_path", F.posexplode("heads").alias("pos", "h")).select("slug", "file_path", "pos", "h.level", "h.text")
+    base = heads.withColumn("base", T.anchorize(F.col("text")))
+    again = F.row_number().over(Window.partitionBy("slug", "base").orderBy("pos")) - 1
+    base = base.withColumn("anchor", F.when(again == 0, F.col("base")).otherwise(F.concat("base", F.lit("-"), again)))
+    headings = base.select("slug", "file_path", "pos", "level", "text", "anchor", T.section_id(F.col("slug"), F.col("anchor")).alias("id"))
+    title = F.coalesce(F.get(F.filter("heads", lambda h: h["level"] == 1), F.lit(0))["text"], T.humanize(F.col("file_path")))
+    files = rows.select("slug", "file_path", "language", title.alias("title"), "token_estimate", F.lit("chars/4").alias("token_estimate_method"), "front", F.size("heads").alias("n_headings"))
+    links = rows.select("slug", "file_path", F.posexplode("links").alias("pos", "l")).select("slug", "file_path", "pos", "l.raw", "l.target", "l.type")
+    tokens = rows.select("slug", F.explode("tokens").alias("token"))
     return Structure(files, headings, links, tokens)
 
 
@@ -158,8 +165,19 @@ def front_rows(files: DataFrame) -> DataFrame:
 
 
 def groups(files: DataFrame) -> DataFrame:
-    """(group, file_count, token_estimate, members): one row a folder; members are slugs in the order of paths."""
+    """(group, file_count, token_estimate, members, files): one row a folder; members are slugs, files short records, both in the order of paths."""
     rows = files.withColumn("group", T.group_of(F.col("file_path")))
-    members = F.array_sort(F.collect_list(F.struct("file_path", "slug")))
-    out = rows.groupBy("group").agg(F.count("*").alias("file_count"), F.sum("token_estimate").alias("token_estimate"), members.alias("m"))
-    return out.select("group", "file_count", "token_estimate", F.transform("m", lambda x: x["slug"]).alias("members"))
+    inside = F.array_sort(F.collect_list(F.struct("file_path", "slug", "title", "token_estimate")))
+    out = rows.groupBy("group").agg(F.count("*").alias("file_count"), F.sum("token_estimate").alias("token_estimate"), inside.alias("m"))
+    short = F.transform("m", lambda x: F.struct(x["slug"].alias("slug"), x["file_path"].alias("file_path"), x["title"].alias("title"), x["token_estimate"].alias("token_estimate")))
+    return out.select("group", "file_count", "token_estimate", F.transform("m", lambda x: x["slug"]).alias("members"), short.alias("files"))
+
+
+def records(structure: Structure, links: DataFrame) -> DataFrame:
+    """One record a file, with its front matter, headings and links nested in their order; links are those with resolved_slug."""
+    heads = structure.headings.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("pos", "level", "text", "anchor"))).alias("h"))
+    refs = links.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("pos", "raw", "target", "type", "resolved_slug"))).alias("l"))
+    rows = structure.files.join(heads, "slug", "left").join(refs, "slug", "left")
+    headings = F.transform(F.coalesce("h", F.array().cast("array<struct<pos:int,level:int,text:string,anchor:string>>")), lambda x: x.dropFields("pos"))
+    links = F.transform(F.coalesce("l", F.array().cast("array<struct<pos:int,raw:string,target:string,type:string,resolved_slug:string>>")), lambda x: x.dropFields("pos"))
+    return rows.select("slug", "file_path", "language", "title", "token_estimate", "token_estimate_method", F.when(F.size("front") > 0, F.col("front")).alias("front"), headings.alias("headings"), links.alias("links"))

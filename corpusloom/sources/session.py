@@ -12,6 +12,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import gates
+
 # The steps of a run in order, and a step's states.
 STEPS = ("preflight", "parse", "render", "verify", "crossfile", "assemble", "report")
 STATES = ("pending", "running", "done", "failed")
@@ -58,15 +60,54 @@ def create(root: str, entries: object, language: str = "source", folder: str = "
     return os.path.abspath(path)
 
 
-def write_structure(session: str, meta: dict, files: DataFrame, nodes: DataFrame, edges: DataFrame, slices: DataFrame) -> None:
-    """structure.json and one slice a file; a session holds the files of one page."""
-    as_json = lambda df: [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"})).toLocalIterator()]
-    rows = as_json(files)
-    _dump(os.path.join(session, "structure.json"), {"meta": {**meta, "file_count": len(rows)}, "files": rows, "graph": {"nodes": as_json(nodes), "edges": as_json(edges)}})
+def _rows(df: DataFrame) -> list[dict]:
+    return [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "true"})).toLocalIterator()]
+
+
+def write_structure(session: str, meta: dict, files: DataFrame, nodes: DataFrame, edges: DataFrame, slices: DataFrame, groups: DataFrame | None = None) -> None:
+    """structure.json and one slice a file; a session holds the files of one page. Larger structures are written by write_records."""
+    rows = _rows(files)
+    named = {} if groups is None else {"groups": _rows(groups.drop("members").orderBy("group"))}
+    _dump(os.path.join(session, "structure.json"), {"meta": {**meta, "file_count": len(rows)}, "files": rows, **named, "graph": {"nodes": _rows(nodes), "edges": _rows(edges)}})
     for r in slices.toLocalIterator():
         _dump(os.path.join(session, "slices", f"{r['slug']}.json"), json.loads(r["slice"]))
 
 
+RECORD = (
+    "slug string, file_path string, language string, title string, token_estimate int, token_estimate_method string, front array<struct<key:string,value:string,items:array<string>>>, "
+    "headings array<struct<level:int,text:string,anchor:string>>, links array<struct<raw:string,target:string,type:string,resolved_slug:string>>"
+)
+STRUCTURE = f"files array<struct<{RECORD.replace(' string', ':string').replace(' int', ':int').replace(' array', ':array').replace(', ', ',')}>>, graph struct<nodes:array<struct<slug:string,file_path:string,title:string>>,edges:array<struct<from:string,to:string,strength:string,reason:string>>>"
+
+
+def write_records(records: DataFrame, path: str) -> None:
+    """Records of files (see operators.structure.records) as JSON lines, by Spark, for structures of any size."""
+    records.write.mode("overwrite").json(path, ignoreNullFields=True)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RECORD).json(path)
+
+
+def unfold(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(files, headings, links) of records, as parse gives them; links with resolved_slug."""
+    some = lambda c, kind: F.coalesce(c, F.array().cast(kind))
+    heads = some("headings", "array<struct<level:int,text:string,anchor:string>>")
+    files = records.select("slug", "file_path", "language", "title", "token_estimate", "token_estimate_method", some("front", "array<struct<key:string,value:string,items:array<string>>>").alias("front"), F.size(heads).alias("n_headings"))
+    headings = records.select("slug", "file_path", F.posexplode(heads).alias("pos", "h")).select("slug", "file_path", "pos", "h.level", "h.text", "h.anchor", F.concat("slug", F.lit("--"), "h.anchor").alias("id"))
+    links = records.select("slug", "file_path", F.posexplode("links").alias("pos", "l")).select("slug", "file_path", "pos", "l.*")
+    return files, headings, links
+
+
+def read_structure(spark: SparkSession, session: str) -> tuple[DataFrame, DataFrame]:
+    """(records, edges) of a session's structure.json. Raises FileNotFoundError where there is none."""
+    path = os.path.join(session, "structure.json")
+    if not os.path.isfile(path):
+        raise FileNotFoundError(path)
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", STRUCTURE).alias("s"))
+    return whole.select(F.explode("s.files").alias("f")).select("f.*"), whole.select(F.explode("s.graph.edges").alias("e")).select("e.*")
+
+
 def manifest(session: str) -> dict:
     with open(os.path.join(session, "manifest.json"), encoding="utf-8") as f:
         return json.load(f)
@@ -138,3 +179,45 @@ def validate(spark: SparkSession, session: str) -> dict:
             bad = True
     fragments, analyses = lacking(have), lacking(parsed)
     return {"ok": not (fragments or analyses or bad), "missing_fragments": fragments, "unparsable_analysis": analyses, "bad_findings": bad}
+
+
+def repair(spark: SparkSession, session: str, root: str = ".") -> tuple[int, dict]:
+    """Repairs a session's fragments and contracts in place: (status, report).
+
+    Status 2: no structure.json; 1: genuine gaps are left; 0: none. Files that lack a fragment or
+    a readable analysis are skipped, and only what changed is written. The report has lists of
+    {slug, item} by bucket and kind, in the order of paths.
+    """
+    report = {bucket: {kind: [] for kind in gates.KINDS} for bucket in gates.BUCKETS}
+    try:
+        records, _ = read_structure(spark, session)
+    except FileNotFoundError:
+        return 2, report
+    files, headings, _ = unfold(records)
+    raw = _whole(spark, os.path.join(session, "analysis"), "json").withColumn("a", F.from_json("html", ANALYSIS, {"mode": "PERMISSIVE"}))
+    analyses = raw.where("a is not null and a._corrupt_record is null").select("slug", "a.sections", "a.contracts")
+    fragments = read_fragments(spark, session).join(analyses, "slug", "left_semi")
+    sections = analyses.select("slug", F.posexplode("sections").alias("ord", "s")).select("slug", "ord", "s.id", "s.source_headings")
+    contracts = analyses.select("slug", F.posexplode("contracts").alias("ord", "c")).select("slug", "ord", "c.text")
+    paths = [(r["slug"], os.path.join(root, r["file_path"])) for r in files.join(fragments, "slug", "left_semi").select("slug", "file_path").toLocalIterator()]
+    sources = [(slug, open(path, encoding="utf-8").read()) for slug, path in paths if os.path.isfile(path)]
+    done = gates.reconcile(files, headings, fragments, sections, contracts, spark.createDataFrame(sources, "slug string, text string"))
+    items = done.report.join(files.select("slug", "file_path"), "slug").orderBy("file_path", "item")
+    for r in items.toLocalIterator():
+        report[r["bucket"]].setdefault(r["kind"], []).append({"slug": r["slug"], "item": r["item"]})
+    for r in done.fragments.where("changed").toLocalIterator():
+        with open(os.path.join(session, "fragments", f"{r['slug']}.html"), "w", encoding="utf-8") as f:
+            f.write(r["html"])
+    stay = done.contracts.groupBy("slug").agg(F.array_sort(F.collect_list("ord")).alias("kept"))
+    for r in analyses.where(F.size("contracts") > 0).join(fragments, "slug", "left_semi").join(stay, "slug", "left").where(F.size("contracts") > F.size(F.coalesce("kept", F.array().cast("array<int>")))).toLocalIterator():
+        path = os.path.join(session, "analysis", f"{r['slug']}.json")
+        with open(path, encoding="utf-8") as f:
+            analysis = json.load(f)
+        analysis["contracts"] = [analysis["contracts"][i] for i in r["kept"] or []]
+        _dump(path, analysis)
+    return int(any(report["genuine_gaps"].values())), report
+
+
+def load(spark: SparkSession, session: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(records, edges, findings, analyses) of a session; missing or unreadable findings and analyses give no rows."""
+    return *read_structure(spark, session), read_findings(spark, session), read_analyses(spark, session)

@@ -219,10 +219,10 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
 
 
 def test_layout_is_over_all_edges(spark):
-    from corpusloom.plans import queries
+    from corpusloom.plans import queries, registry
 
     sf = "/root/testdata/sf0.001"
-    edges = graph.edges_of(queries._parsed(spark, sf)).collect()
+    edges = graph.edges_of(registry.kept(spark, sf)).collect()
     out_of = {e[k]: set() for e in edges for k in ("from", "to")}
     for e in edges:
         out_of[e["from"]].add(e["to"])
@@ -250,7 +250,7 @@ def test_layout_is_over_all_edges(spark):
     want = {s: layer(s) for s in out_of}
     assert {r["slug"]: r["layer"] for r in queries.barycenter_order(spark, sf).collect()} == want
     assert {r["slug"]: r["layer"] for r in queries.all_layers(spark, sf).collect()} == want
-    strong = graph.edges_of(queries._parsed(spark, sf)).where("strength = 'strong'")
+    strong = graph.edges_of(registry.kept(spark, sf)).where("strength = 'strong'")
     assert {r["slug"]: r["layer"] for r in graph.diagram(strong).collect()} != want
 
 
@@ -262,3 +262,115 @@ def test_more_ids_than_one_pattern_holds(spark):
     assert got == {1: (f"see {link(12)} &amp; {link(1000000)}, {link(999999)}9", "x"), 2: ("", "f--"), 3: (link(12), link(12))}
     none = overview.linkify(rows, many.where("false"), ("a",))
     assert {r["ord"]: r["a"] for r in none.collect()}[1] == "see f--s12 &amp; f--s1000000, f--s9999999"
+
+
+def test_places_in_layers_against_plain_sweeps():
+    import random
+
+    for seed in range(30):
+        rnd = random.Random(seed)
+        nodes = [f"n{i:02d}" for i in range(rnd.randint(1, 14))]
+        pairs = [(rnd.choice(nodes), rnd.choice(nodes)) for _ in range(rnd.randint(0, 30))]
+        got = graph._arrange(nodes, pairs)
+        layer = {s: k for s, k, _ in got}
+        order = {k: sorted(s for s in nodes if layer[s] == k) for k in range(max(layer.values()) + 1)}
+        links = {frozenset(p) for p in pairs if p[0] != p[1]}
+        for _ in range(3):
+            for k, other in [(k, k - 1) for k in range(1, len(order))] + [(k, k + 1) for k in range(len(order) - 2, -1, -1)]:
+                def centre(s, k=k, other=other):
+                    found = [i for i, t in enumerate(order[other]) if frozenset((s, t)) in links]
+                    return sum(found) / len(found) if found else order[k].index(s)
+
+                order[k] = sorted(order[k], key=lambda s: (centre(s), s))
+        assert got == [(s, k, i) for k in sorted(order) for i, s in enumerate(order[k])]
+
+
+def test_edges_with_absent_ends_are_not_drawn(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "gone"), ("gone", "a"), ("c", "c")], "from string, to string")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "slug string")
+    assert rows(graph.diagram(edges, nodes=nodes), "slug", "layer", "index") == [("a", 0, 0), ("b", 1, 0), ("c", 0, 1)]
+    with pytest.raises(ValueError):
+        graph.longest_layers(spark.createDataFrame([("a", "b"), ("b", "a"), ("z", "a")], "from string, to string"))
+
+
+@pytest.mark.parametrize(
+    ("body", "section", "want"),
+    [
+        ("<p id='s'>x</p>", "s", "<p id='s'>#x</p>"),
+        ("<p id='s'>x</p><b id=\"s\" class=c>y", "s", "<p id='s'>x</p><b id=\"s\" class=c>#y"),
+        ('<p id="s.">a<p id="s+">b', "s+", '<p id="s.">a<p id="s+">#b'),
+        ('<p id="s"', "s", '<p id="s"#'),
+        ("$1 \\\\ x", "s", "$1 \\\\ x#"),
+        ("", "s", "#"),
+    ],
+)
+def test_spans_of_closed_headings(spark, body, section, want):
+    df = spark.createDataFrame([(body, [("a&b", section)])], "body string, ids array<struct<id:string,section_id:string>>")
+    span = '<span id="a&amp;b" data-src-heading="a&amp;b" aria-hidden="true"></span>'
+    assert df.select(gates.closed(F.col("body"), F.col("ids"))).first()[0] == want.replace("#", span)
+
+
+def test_publishing_only_when_all_gates_pass(spark, parsed, tmp_path):
+    parts_of = lambda fragments: overview.page_parts(parsed.files, parsed.headings, edges, findings(spark), fragments)
+    edges = graph.edges_of(parsed)
+    whole = parsed.headings.groupBy("slug").agg(F.array_join(F.transform(F.collect_list("id"), lambda i: F.concat(F.lit('<p data-src-heading="'), i, F.lit('"></p>'))), "").alias("html"))
+    none = spark.createDataFrame([], "slug string, ord int, text string")
+    sources = spark.createDataFrame([], "slug string, text string")
+    out = tmp_path / "page.html"
+
+    def publish(fragments, shell):
+        failures = gates.gate_report(parsed.files, parsed.headings, fragments, none, sources)
+        return overview.publish(parts_of(fragments), shell, parsed.files, edges, findings(spark), failures, str(out))
+
+    bad = publish(whole.where("slug <> 'refs-tokens'"), overview.default_shell())
+    assert not out.exists() and bad["coverage_gaps"] == [f"refs-tokens: source heading id '{i}' not covered by any data-src-heading in the fragment" for i in ("refs-tokens--after", "refs-tokens--tokens")]
+    remote = publish(whole, overview.default_shell() + "<img src=http://x>")
+    assert not out.exists() and remote["external_fetches"] == ["<script>/<img> with http(s) src: '<img src=http:'"]
+    good = publish(whole, overview.default_shell())
+    assert out.read_text() == overview.write_page(parts_of(whole), overview.default_shell())
+    assert good == {"files": 7, "sections": 10, "findings": 3, "graph_mode": "diagram", **dict.fromkeys(gates.GATES, [])}
+
+
+def test_structure_is_read_again_and_a_session_repaired(spark, parsed, tmp_path):
+    path = session.create(str(tmp_path), [{"slug": "refs-tokens", "path": "refs/tokens.md"}, {"slug": "skills-auth", "path": "skills/auth.md"}])
+    assert session.repair(spark, path)[0] == 2
+    for name, text in FILES.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    links, edges = graph.resolve(parsed.links, parsed.files), graph.edges_of(parsed)
+    records = structure.records(parsed, links)
+    nodes = parsed.files.select("slug", "file_path", "title")
+    session.write_structure(path, {"root": "."}, records, nodes, edges, scope.slices(parsed.files, parsed.headings, links), structure.groups(parsed.files))
+    written = json.load(open(os.path.join(path, "structure.json")))
+    assert [g["group"] for g in written["groups"]] == [".", "a", "other", "refs", "skills"] and written["groups"][1]["files"][0]["file_path"] == "a/foo!bar.md"
+    again, edges_again = session.read_structure(spark, path)
+    files, headings, links_again = session.unfold(again)
+    assert rows(files, *parsed.files.columns) == rows(parsed.files, *parsed.files.columns)
+    assert rows(headings, *parsed.headings.columns) == rows(parsed.headings, *parsed.headings.columns)
+    assert sorted(map(repr, links_again.select(*links.columns).collect())) == sorted(map(repr, links.collect()))
+    assert rows(edges_again, "from", "to", "reason") == rows(edges, "from", "to", "reason")
+
+    part = lambda kind, name: os.path.join(path, kind, name)
+    open(part("fragments", "refs-tokens.html"), "w").write('<section id="s1"><a href="#refs-tokens--after">x</a></section>')
+    open(part("analysis", "refs-tokens.json"), "w").write(json.dumps({"tldr": "t", "sections": [{"id": "s1", "title": "T", "kind": "k", "source_headings": ["tokens", "after"]}], "contracts": [{"text": "After"}, {"text": "after!"}]}))
+    open(part("fragments", "skills-auth.html"), "w").write("<p>left alone</p>")
+    open(part("analysis", "skills-auth.json"), "w").write("{broken")
+    status, report = session.repair(spark, path, str(tmp_path))
+    assert status == 0 and [x["item"] for x in report["auto_closed"]["coverage"]] == ["refs-tokens--after", "refs-tokens--tokens"]
+    assert report["auto_closed"]["duplicate"] == [{"slug": "refs-tokens", "item": "after"}] and not any(report["genuine_gaps"].values())
+    done = open(part("fragments", "refs-tokens.html")).read()
+    assert 'data-src-heading="refs-tokens--tokens"' in done and '<div class="mdhv-contract">After</div>' in done
+    assert json.load(open(part("analysis", "refs-tokens.json")))["contracts"] == [{"text": "After"}]
+    assert open(part("fragments", "skills-auth.html")).read() == "<p>left alone</p>"
+    assert session.repair(spark, path, str(tmp_path)) == (0, {b: {k: [] for k in gates.KINDS} for b in gates.BUCKETS})
+    open(part("fragments", "refs-tokens.html"), "a").write('<a href="#nowhere">x</a>')
+    status, report = session.repair(spark, path, str(tmp_path))
+    assert status == 1 and report["genuine_gaps"]["anchors"] == [{"slug": "refs-tokens", "item": "#nowhere"}]
+
+
+def test_repair_and_checks_agree_on_words(spark):
+    texts = ["", "a b", "A  b&amp;c <i>d</i>", "one two three four", "one x two y three", "é É ü_z 9"]
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    got = H.with_normalized(H.with_normalized(df, "a", "na"), "b", "nb").withColumn("p", T.contract_present(F.col("na"), F.col("nb")))
+    for r in got.collect():
+        assert r["na"] == gates._words(r["a"]) and r["p"] == (r["na"] == "" or gates._present(r["na"], r["nb"]))
