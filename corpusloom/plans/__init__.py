@@ -1,0 +1,6 @@
+"""Queries over the driver's tables; ALL has every registered one, with its SQL."""
+
+from . import queries, registry, reports, rules
+
+MODULES = (queries, reports, rules)
+ALL = registry

@@ -9,30 +9,10 @@ from ..functions import html as H
 from ..functions import text as T
 from ..operators import gates, graph, overview, scope, structure
 from ..sources.derived import CORPUS_SQL, derived_corpus
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _parsed(spark: SparkSession, sf_dir: str) -> structure.Structure:
-    return structure.parse(derived_corpus(spark, sf_dir))
-
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    """Registers a query under its function's name."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return add
+from .registry import kept as _kept
+from .registry import parsed as _parsed
+from .registry import query
+from .registry import table as _table
 
 
 # Common table expressions of the SQL side, each on top of the ones before it.
@@ -173,7 +153,7 @@ def link_type_counts(spark, sf_dir):
 
 @query("WITH " + PARSED_SQL + " SELECT slug, raw, type, resolved_slug FROM resolved")
 def resolved_links(spark, sf_dir):
-    s = _parsed(spark, sf_dir)
+    s = _kept(spark, sf_dir)
     return graph.resolve(s.links, s.files).select("slug", "raw", "type", "resolved_slug")
 
 
@@ -184,12 +164,12 @@ def name_tokens(spark, sf_dir):
 
 @query("WITH " + PARSED_SQL + ' SELECT "from", "to", strength, reason FROM edges')
 def edges(spark, sf_dir):
-    return graph.edges_of(_parsed(spark, sf_dir))
+    return graph.edges_of(_kept(spark, sf_dir))
 
 
 @query("WITH " + PARSED_SQL + r""" SELECT trim(regexp_replace(reason, ':\s*''[^'']*''', '')) AS label, strength, count(*) AS edges FROM edges GROUP BY ALL""")
 def edge_reason_counts(spark, sf_dir):
-    return graph.edges_of(_parsed(spark, sf_dir)).groupBy(T.legend_label(F.col("reason")).alias("label"), "strength").agg(F.count("*").alias("edges"))
+    return graph.edges_of(_kept(spark, sf_dir)).groupBy(T.legend_label(F.col("reason")).alias("label"), "strength").agg(F.count("*").alias("edges"))
 
 
 HUBS_SQL = """, hubs AS (SELECT "to" AS slug, count(*) AS incoming FROM edges WHERE strength = 'strong' GROUP BY "to" HAVING count(*) >= 2)"""
@@ -197,23 +177,23 @@ HUBS_SQL = """, hubs AS (SELECT "to" AS slug, count(*) AS incoming FROM edges WH
 
 @query("WITH " + PARSED_SQL + HUBS_SQL + " SELECT * FROM hubs")
 def hubs(spark, sf_dir):
-    return graph.hubs(graph.edges_of(_parsed(spark, sf_dir)))
+    return graph.hubs(graph.edges_of(_kept(spark, sf_dir)))
 
 
 @query("WITH " + PARSED_SQL + HUBS_SQL + " SELECT * FROM hubs ORDER BY incoming DESC, slug LIMIT 5")
 def top_hubs(spark, sf_dir):
-    return graph.top_hubs(graph.edges_of(_parsed(spark, sf_dir)))
+    return graph.top_hubs(graph.edges_of(_kept(spark, sf_dir)))
 
 
 @query("WITH " + PARSED_SQL + ' SELECT slug, file_path FROM files WHERE slug NOT IN (SELECT "from" FROM edges UNION SELECT "to" FROM edges)')
 def isolated(spark, sf_dir):
-    s = _parsed(spark, sf_dir)
+    s = _kept(spark, sf_dir)
     return graph.isolated(s.files, graph.edges_of(s)).select("slug", "file_path")
 
 
 @query("WITH " + PARSED_SQL + """ SELECT regexp_extract(file_path, '^(.*)/', 1) AS "group", count(*) AS file_count, sum(token_estimate)::BIGINT AS token_estimate, string_agg(slug, ',' ORDER BY file_path) AS members FROM files GROUP BY 1""")
 def dir_groups(spark, sf_dir):
-    return structure.groups(_parsed(spark, sf_dir).files).withColumn("members", F.array_join("members", ","))
+    return structure.groups(_parsed(spark, sf_dir).files).drop("files").withColumn("members", F.array_join("members", ","))
 
 
 @query("WITH " + PARSED_SQL + """, g AS (SELECT *, regexp_extract(file_path, '^(.*)/', 1) AS grp FROM files)
@@ -234,27 +214,21 @@ selected AS (SELECT token, slug, category FROM ways WHERE category IS NOT NULL Q
 
 @query("WITH " + PARSED_SQL + SELECTED_SQL + " SELECT token, slug, category FROM selected")
 def select_spec(spark, sf_dir):
-    return scope.select_files(_parsed(spark, sf_dir).files, SPEC)
+    return scope.select_files(_kept(spark, sf_dir).files, SPEC)
 
 
 @query("WITH " + PARSED_SQL + SELECTED_SQL + ' SELECT e."from", e."to", e.strength, e.reason FROM edges e WHERE "from" IN (SELECT slug FROM selected) AND "to" IN (SELECT slug FROM selected)')
 def scoped_edges(spark, sf_dir):
-    s = _parsed(spark, sf_dir)
+    s = _kept(spark, sf_dir)
     return scope.scope_edges(graph.edges_of(s), scope.select_files(s.files, SPEC))
 
 
 @query("WITH " + PARSED_SQL + SELECTED_SQL + " SELECT r.slug, r.raw, CASE WHEN r.resolved_slug IN (SELECT slug FROM selected) THEN r.resolved_slug END AS resolved_slug FROM resolved r WHERE r.slug IN (SELECT slug FROM selected)")
 def scoped_links(spark, sf_dir):
-    s = _parsed(spark, sf_dir)
+    s = _kept(spark, sf_dir)
     return scope.scope_links(graph.resolve(s.links, s.files), scope.select_files(s.files, SPEC)).select("slug", "raw", "resolved_slug")
 
 
-@query()
-def slices(spark, sf_dir):
-    s = _parsed(spark, sf_dir)
-    return scope.slices(s.files, s.headings, graph.resolve(s.links, s.files))
-
-
 @query(r"""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages""")
 def page_links(spark, sf_dir):
     found = F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1))
@@ -295,16 +269,21 @@ def _word_windows(spark, sf_dir):
     hay = H.with_normalized(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", "h").select("doc_id", "h", F.split("h", " ").alias("w"))
     needles = H.with_normalized(_table(spark, sf_dir, "benchmark").select("item_id", "text"), "text", "n").where("n <> ''").select("item_id", "n", F.split("n", " ").alias("v"))
     # a contract is a substring by characters: its inner words stand whole in the text; the two outer ones may be parts of words
-    inner = F.slice("v", F.lit(2), F.greatest(F.size("v") - 2, F.lit(0)))
-    key = F.slice(inner, 1, 3)
-    keyed = needles.select("item_id", "n", F.when(F.size(key) == 3, F.xxhash64(F.get(key, F.lit(0)), F.get(key, F.lit(1)), F.get(key, F.lit(2)))).alias("k"))
-    runs = hay.where(F.size("w") >= 3).select("doc_id", "h", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 3)).alias("i"))
-    runs = runs.select("doc_id", F.xxhash64(F.get("w", F.col("i")), F.get("w", F.col("i") + 1), F.get("w", F.col("i") + 2)).alias("k"))
-    pairs = runs.join(keyed.where("k is not null").select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
-    short = keyed.where("k is null").select("item_id", F.col("n").alias("sn"))
-    long = pairs.join(needles.select("item_id", "n"), "item_id").join(hay.select("doc_id", "h"), "doc_id").where(F.contains("h", F.col("n"))).select("doc_id", "item_id")
-    # needles of fewer than five words have no such key; there are few of them, and each is looked for in all texts
-    return long.unionByName(hay.select("doc_id", "h").join(short, F.contains("h", F.col("sn"))).select("doc_id", "item_id"))
+    needles = needles.withColumn("inner", F.least(F.greatest(F.size("v") - 2, F.lit(0)), F.lit(3)))
+    found = None
+    for m in [r["inner"] for r in needles.select("inner").distinct().orderBy("inner").collect()]:  # 0 to 3
+        mine = needles.where(F.col("inner") == m)
+        if m:
+            keyed = mine.select("item_id", F.xxhash64(*[F.get("v", F.lit(1 + j)) for j in range(m)]).alias("k"))
+            runs = hay.where(F.size("w") >= m).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - m)).alias("i"))
+            runs = runs.select("doc_id", F.xxhash64(*[F.get("w", F.col("i") + j) for j in range(m)]).alias("k"))
+            pairs = runs.join(keyed, "k").select("doc_id", "item_id").distinct()
+            some = pairs.join(mine.select("item_id", "n"), "item_id").join(hay.select("doc_id", "h"), "doc_id").where(F.contains("h", F.col("n"))).select("doc_id", "item_id")
+        else:
+            # one or two words, both of which may be parts of words: each such needle is looked for in all texts
+            some = hay.select("doc_id", "h").join(mine.select("item_id", "n"), F.contains("h", F.col("n"))).select("doc_id", "item_id")
+        found = some if found is None else found.unionByName(some)
+    return found if found is not None else hay.join(needles, F.lit(False)).select("doc_id", "item_id")
 
 
 _GAPPED = r"""
@@ -326,7 +305,7 @@ def contract_present(spark, sf_dir):
     return rows.withColumn("needle", needle).select("conv_id", "turn", "role", "needle", T.contract_present(F.col("needle"), F.col("h")).alias("present"))
 
 
-def _rendered(s: structure.Structure) -> tuple[DataFrame, DataFrame]:
+def rendered(s: structure.Structure) -> tuple[DataFrame, DataFrame]:
     """Fragments and sections by rule: every third heading's id is left out, every fourth link is broken, every second heading is claimed."""
     nth = F.col("pos") + 1
     covered = F.when(nth % 3 == 0, "").otherwise(F.concat(F.lit(' data-src-heading="'), "id", F.lit('"')))
@@ -340,27 +319,27 @@ def _rendered(s: structure.Structure) -> tuple[DataFrame, DataFrame]:
 @query("WITH " + RENDERED_SQL + """, hrefs AS (SELECT slug, unnest(regexp_extract_all(html, '<a href="(#[^"]*)"', 1)) AS href FROM bodies)
 SELECT slug, href FROM hrefs WHERE href[2:] NOT IN (SELECT id FROM headings)""")
 def dangling_anchors(spark, sf_dir):
-    s = _parsed(spark, sf_dir)
-    return gates.dangling_anchors(s.files, s.headings, _rendered(s)[0]).select("slug", "href")
+    s = _kept(spark, sf_dir)
+    return gates.dangling_anchors(s.files, s.headings, rendered(s)[0]).select("slug", "href")
 
 
 @query("WITH " + RENDERED_SQL + """, got AS (SELECT slug, unnest(regexp_extract_all(html, 'data-src-heading="([^"]*)"', 1)) AS id FROM bodies)
 SELECT DISTINCT h.slug, h.id FROM headings h WHERE NOT EXISTS (SELECT 1 FROM got g WHERE g.slug = h.slug AND g.id = h.id)""")
 def coverage_gaps(spark, sf_dir):
-    s = _parsed(spark, sf_dir)
-    return gates.coverage_gaps(s.files, s.headings, _rendered(s)[0])
+    s = _kept(spark, sf_dir)
+    return gates.coverage_gaps(s.files, s.headings, rendered(s)[0])
 
 
 @query("WITH " + RENDERED_SQL + """, got AS (SELECT slug, unnest(regexp_extract_all(html, 'data-src-heading="([^"]*)"', 1)) AS id FROM bodies),
 gaps AS (SELECT DISTINCT h.slug, h.id, h.anchor FROM headings h WHERE NOT EXISTS (SELECT 1 FROM got g WHERE g.slug = h.slug AND g.id = h.id))
 SELECT g.slug, g.id, (SELECT arg_min(s.id, s.ord) FROM sections s WHERE s.slug = g.slug AND s.anchor = g.anchor) AS section_id FROM gaps g""")
 def reconcile_coverage(spark, sf_dir):
-    s = _parsed(spark, sf_dir)
-    fragments, sections = _rendered(s)
+    s = _kept(spark, sf_dir)
+    fragments, sections = rendered(s)
     return gates.reconcile_coverage(s.files, s.headings, fragments, sections)
 
 
-def _contracts(s: structure.Structure) -> tuple[DataFrame, DataFrame]:
+def contracts_of(s: structure.Structure) -> tuple[DataFrame, DataFrame]:
     """Contracts by rule: each heading's text with the file's name, every fifth with a word that no source has; and fragments that show every second one."""
     contracts = s.headings.select("slug", F.col("pos").alias("ord"), F.concat("text", F.when(F.col("pos") % 5 == 4, " zzinvented").otherwise("")).alias("text"))
     shown = F.when(F.col("ord") % 2 == 0, F.concat(F.lit(f'<p class="{H.PREFIX}-contract">'), "text", F.lit("</p>"))).otherwise("")
@@ -378,24 +357,15 @@ FROM needles n JOIN src s ON n.slug = s.slug LEFT JOIN shown f ON n.slug = f.slu
 WHERE NOT contains(s.src, n.needle) OR NOT contains(coalesce(f.shown, ''), n.needle)""")
 def contract_violations(spark, sf_dir):
     corpus = structure.with_slugs(derived_corpus(spark, sf_dir)).select("slug", "text")
-    contracts, fragments = _contracts(_parsed(spark, sf_dir))
+    contracts, fragments = contracts_of(_kept(spark, sf_dir))
     return gates.contract_violations(contracts, corpus, fragments)
 
 
-@query()
-def reconcile_report(spark, sf_dir):
-    corpus = structure.with_slugs(derived_corpus(spark, sf_dir)).select("slug", "text")
-    s = _parsed(spark, sf_dir)
-    contracts, _ = _contracts(s)
-    fragments, sections = _rendered(s)
-    return gates.reconcile(s.files, s.headings, fragments, sections, contracts, corpus).report
-
-
 FINDINGS_SQL = r""", findings AS (
   SELECT row_number() OVER (ORDER BY "from", "to") - 1 AS ord, "from" AS a, "to" AS b, CASE WHEN strength = 'weak' THEN 'high' WHEN reason LIKE 'direct%' THEN 'medium' ELSE 'info' END AS severity FROM edges)"""
 
 
-def _findings(s: structure.Structure) -> DataFrame:
+def findings_of(s: structure.Structure) -> DataFrame:
     """Findings by rule, one an edge; a file's own name comes twice."""
     rows = graph.edges_of(s)
     severity = F.when(F.col("strength") == "weak", "high").when(F.col("reason").startswith("direct"), "medium").otherwise("info")
@@ -407,23 +377,23 @@ def _findings(s: structure.Structure) -> DataFrame:
 
 @query("WITH " + PARSED_SQL + " SELECT slug, count(*) AS findings FROM (SELECT \"from\" AS slug FROM edges UNION ALL SELECT \"to\" FROM edges) GROUP BY slug")
 def findings_per_file(spark, sf_dir):
-    return overview.findings_per_file(_findings(_parsed(spark, sf_dir)))
+    return overview.findings_per_file(findings_of(_kept(spark, sf_dir)))
 
 
 @query("WITH " + PARSED_SQL + FINDINGS_SQL + " SELECT count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) AS total FROM findings")
 def severity_tally(spark, sf_dir):
-    return overview.severity_tally(_findings(_parsed(spark, sf_dir)))
+    return overview.severity_tally(findings_of(_kept(spark, sf_dir)))
 
 
 @query("WITH " + PARSED_SQL + " SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM edges) AS edges, CASE WHEN (SELECT count(*) FROM files) <= 3 OR (SELECT count(*) FROM edges) = 0 THEN 'chips' ELSE 'diagram' END AS mode")
 def graph_mode(spark, sf_dir):
-    s = _parsed(spark, sf_dir)
+    s = _kept(spark, sf_dir)
     return graph.graph_mode(s.files, graph.edges_of(s))
 
 
 @query("WITH " + PARSED_SQL + r""" SELECT label, arg_min(strength, k) AS strength FROM (SELECT trim(regexp_replace(reason, ':\s*''[^'']*''', '')) AS label, strength, ("from", "to") AS k FROM edges) GROUP BY label""")
 def graph_legend(spark, sf_dir):
-    return graph.legend(graph.edges_of(_parsed(spark, sf_dir)))
+    return graph.legend(graph.edges_of(_kept(spark, sf_dir)))
 
 
 @query("WITH RECURSIVE " + PARSED_SQL + r""",
@@ -433,25 +403,25 @@ walk AS (SELECT slug, 0 AS layer FROM ends WHERE slug NOT IN (SELECT t FROM ahea
 SELECT slug, max(layer) AS layer FROM walk GROUP BY slug""")
 def dag_layers(spark, sf_dir):
     """Layers of the links that lead on in the order of slugs, which is free of cycles."""
-    ahead = graph.edges_of(_parsed(spark, sf_dir)).where(F.col("reason") == graph.REASONS[0]).where("`from` < `to`")
+    ahead = graph.edges_of(_kept(spark, sf_dir)).where(F.col("reason") == graph.REASONS[0]).where("`from` < `to`")
     return graph.longest_layers(ahead)
 
 
 @query()
 def barycenter_order(spark, sf_dir):
-    return overview.geometry(graph.diagram(graph.edges_of(_parsed(spark, sf_dir))))
+    return overview.geometry(graph.diagram(graph.edges_of(_kept(spark, sf_dir))))
 
 
 @query()
 def all_layers(spark, sf_dir):
     """Layers over all edges but the back edges of a depth-first walk, as the diagram has them."""
-    return graph.diagram(graph.edges_of(_parsed(spark, sf_dir))).select("slug", "layer")
+    return graph.diagram(graph.edges_of(_kept(spark, sf_dir))).select("slug", "layer")
 
 
 @query()
 def overview_html(spark, sf_dir):
-    s = _parsed(spark, sf_dir)
-    fragments, _ = _rendered(s)
+    s = _kept(spark, sf_dir)
+    fragments, _ = rendered(s)
     files = s.files.select("slug", "file_path", "title", "token_estimate")
-    return overview.page_parts(files, s.headings, graph.edges_of(s), _findings(s), fragments)
+    return overview.page_parts(files, s.headings, graph.edges_of(s), findings_of(s), fragments)
 
