@@ -13,9 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one is made only where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir). Where it is unset, a temporary one in local mode, and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -31,6 +33,10 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: Spark's setting that deletes the shuffles of a plan once it has run.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder: they cut lineage, and survive lost executors."""
 
@@ -46,9 +52,15 @@ class Scratch:
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
 
     def cut(self, df: DataFrame) -> DataFrame:
+        """df written and read again; the shuffles of the write are deleted at its end, as nothing reads them after it."""
         self.n += 1
         path = f"{self.top}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = (path, back)
         return back
@@ -69,6 +81,23 @@ def if_small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+#: Rows of one key that a task may well have; of a larger table, this share of its rows.
+HOT_ROWS, HOT_SHARE = 1_000, 100_000
+
+
+def join_counted(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """rows joined to facts by key, where facts has one row a key with the count of its rows. Keys of very many rows do not meet in a task.
+
+    Keys of more than a HOT_SHAREth of all rows are fewer than HOT_SHARE, whatever the table, so
+    that their facts are broadcast and their rows stay where they are; all others are joined by a
+    shuffle that the hot rows are not part of. rows should be a written table: it is read twice.
+    """
+    most = max(HOT_ROWS, rows.count() // HOT_SHARE)
+    hot = F.broadcast(facts.where(F.col(count) > most))
+    rest = rows.join(hot.select(key), key, "left_anti").join(facts.where(F.col(count) <= most), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def ranked(df: DataFrame, bucket: Column, order: list[Column], by: list[str], into: str, weight: Column | None = None) -> DataFrame:
     """Adds the running sum of weight (default 1) before each row, within by, in the order of (bucket, order).
 

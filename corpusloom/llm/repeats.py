@@ -18,6 +18,9 @@ A corpus is too large for one suffix array, so strings that may be equal are bro
 All counts are over distinct texts by place; texts that occur twice are removed whole, if long
 enough. Nothing is sampled or capped, and work is linear in the bytes that repeat.
 
+A gram that very many places pick (periodic texts, copies, common passages) is hot: its places
+are marked by a broadcast of such grams, whose number is bounded, not brought together.
+
 Edge cases: null texts count as empty; texts shorter than LENGTH lose nothing; repeated rows are
 copies of each other; long texts are read in pieces of PIECE windows; matches may overlap
 themselves; an empty table gives no rows; other columns are ignored. Places are compared by
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, small_batches, table
+from .common import Scratch, join_counted, small_batches, table
 from .suffixes import suffix_array
 from .words import mix64
 
@@ -236,8 +239,8 @@ def repeated_runs(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     """texts(doc_id, key, text), equal texts having equal keys -> (key, text) of documents with shared anchors, and (key, s, e) of runs of window starts that repeat in other texts or elsewhere in their own."""
     anchors = scratch.cut(texts.select("key", "text").where(F.octet_length("text") >= length).mapInArrow(_anchors(length, gram), "h long, key long, a long"))
     place = F.xxhash64("key", "a")
-    shared = anchors.groupBy("h").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h")
-    hits = anchors.join(shared, "h").groupBy("key").agg(F.collect_set("a").alias("anchors"))  # bounded by a text's own length
+    shared = scratch.cut(anchors.groupBy("h").agg(F.count("*").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo <> hi").select("h", "n"))
+    hits = join_counted(anchors, shared, "h", "n").groupBy("key").agg(F.collect_set("a").alias("anchors"))  # bounded by a text's own length
     hits = scratch.cut(hits)
     scratch.drop(anchors)
     reps = texts.select("key", "doc_id").groupBy("key").agg(F.min("doc_id").alias("r")).withColumnRenamed("key", "k")
