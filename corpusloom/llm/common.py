@@ -85,8 +85,8 @@ def if_small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
 HOT_ROWS, HOT_SHARE = 1_000, 100_000
 
 
-def join_counted(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
-    """rows joined to facts by key, where facts has one row a key with the count of its rows. Keys of very many rows do not meet in a task.
+def join_counted(rows: DataFrame, facts: DataFrame, key: str | list[str], count: str) -> DataFrame:
+    """rows joined to facts by key (one or several columns), where facts has one row a key with the count of its rows. Keys of very many rows do not meet in a task.
 
     Keys of more than a HOT_SHAREth of all rows are fewer than HOT_SHARE, whatever the table, so
     that their facts are broadcast and their rows stay where they are; all others are joined by a
@@ -94,7 +94,7 @@ def join_counted(rows: DataFrame, facts: DataFrame, key: str, count: str) -> Dat
     """
     most = max(HOT_ROWS, rows.count() // HOT_SHARE)
     hot = F.broadcast(facts.where(F.col(count) > most))
-    rest = rows.join(hot.select(key), key, "left_anti").join(facts.where(F.col(count) <= most), key)
+    rest = rows.join(hot.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(facts.where(F.col(count) <= most), key)
     return rows.join(hot, key).unionByName(rest)
 
 

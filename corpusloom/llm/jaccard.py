@@ -18,10 +18,13 @@ class cannot make a pair: they only push others back, and are dropped once count
 prefix holds no shared column have no partner. Among the rows left, which are few, all columns
 are counted and ordered anew, which again leaves out rows that share common passages alone.
 
-Components need not all entries of a large group of near copies. In each round one pivot row
-per column is multiplied with that column's rows of other components; what links is contracted.
-As soon as the pairs of different components that share a prefix column are few (linear in the
-prefixes), all of them are multiplied. No link between rows of different components is left out.
+Components need not all entries of a large group of near copies. In each round a few pivot rows
+per column are multiplied with that column's rows of other components; what links is contracted.
+A pivot is done with its column and leaves it, and a column leaves when its rows are one
+component. Rounds go on until no column is left, with GROWTH times as many pivots in each next
+one, so that they are few and no step depends on how many pairs are left. No link between rows
+of different components is left out. A column's rows, and a pivot's pairs, are dealt to tasks by
+their number, however many they are.
 
 Edge cases: null or empty texts, or texts without words, have the empty set and link to
 nothing; a text of fewer words than a shingle has all of them as its only one; a row of null
@@ -40,14 +43,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, if_small, small_batches, table
+from .common import HOT_ROWS, Scratch, components, join_counted, small_batches, table
 from .words import WordHash, shingle_hashes, word_hashes
 
 SHINGLE_WORDS, PERCENT = 5, 80
-REGION, STAR_ROUNDS = 0.26, 5
-#: Entries of pivot rows (8 bytes each) up to which they are broadcast; beyond, they are joined by a shuffle.
-MOST_BROADCAST = 4_000_000
-_ROWS = 65_536
+REGION = 0.26
+#: How many times as many pivots a column has in each next round; one in the first.
+GROWTH = 4
 
 
 def _sets(batch: pa.RecordBatch, column: str, k: int, seen: WordHash) -> Iterator[np.ndarray]:
@@ -94,12 +96,14 @@ def _rows(k: int):
     return run
 
 
-def _pairable(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows of columns that hold a possible partner: one not too large for the row's slack, and one with slack enough for the row."""
+def _pairable(rows: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Of a written table the rows of columns that hold a possible partner: one not too large for the row's slack, and one with slack enough for the row. rows is dropped."""
     lists = rows.groupBy("h").agg(F.count("*").alias("m"), F.min("n").alias("least"), F.max("slack").alias("most")).where("m > 1")
-    both = rows.join(lists, "h")
+    both = join_counted(rows, scratch.cut(lists), "h", "m")
     fits = F.col("slack") >= percent * F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
-    return both.where(fits & (F.col("most") >= percent * F.col("n"))).select(*rows.columns)
+    out = scratch.cut(both.where(fits & (F.col("most") >= percent * F.col("n"))).select(*rows.columns))
+    scratch.drop(rows)
+    return out
 
 
 def _enough(percent: int, overlap: Column, x: Column, y: Column) -> Column:
@@ -131,55 +135,58 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = P
     counts = entries.groupBy("h").agg(F.count("*").alias("m"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h", "m")
     shared = entries.join(counts, "h").groupBy("h", "c").agg(F.max("m").alias("m"), F.max("i").alias("i"))
     # the place of each shared column in its row: columns of one class come first in the region
-    placed = scratch.cut(shared).join(if_small(classes), "c")
+    placed = scratch.cut(shared).join(classes, "c")
     inner = placed.where("i is null").withColumn("at", F.col("inside") - F.count("*").over(Window.partitionBy("c")) + F.row_number().over(order) - 1)
     placed = inner.unionByName(placed.where("i is not null").withColumn("at", F.col("i").cast("long"))).where(F.col("at") < prefix)
-    some = if_small(scratch.cut(placed.select("c", F.col("rep").alias("doc_id")).distinct()))
+    some = scratch.cut(placed.select("c", F.col("rep").alias("doc_id")).distinct())
 
     # all other rows have no partner; among those left, all columns are counted and ordered anew
-    full = rows.join(some, "doc_id", "left_semi").select("text").mapInArrow(_rows(k), "c long, row array<long>")
+    # (one plan at all sizes: texts are dealt by id once, and looked up in that part of the ids)
+    full = rows.join(some.hint("shuffle_hash"), "doc_id", "left_semi").select("text").mapInArrow(_rows(k), "c long, row array<long>")
     full = scratch.cut(full.join(some, "c", "left_semi").dropDuplicates(["c"]))
     entries = full.select("c", F.explode("row").alias("h"))
     counts = entries.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    placed = entries.join(counts, "h").join(if_small(classes).select("c", "n"), "c")
+    placed = entries.join(counts, "h").join(classes.select("c", "n"), "c")
     placed = placed.withColumn("at", F.col("n") - F.count("*").over(Window.partitionBy("c")) + F.row_number().over(order) - 1)
     # slack: what 100 + percent times the most that may still overlap leaves for the partner's size; pairs need slack >= percent * n both ways
     slack = (100 + percent) * (F.col("n") - F.col("at")) - percent * F.col("n")
-    prefixes = _pairable(placed.where(F.col("at") < prefix).select("h", "c", "n", slack.alias("slack")), percent)
-    prefixes = scratch.cut(_pairable(scratch.cut(prefixes), percent))
-    total = prefixes.count()
+    prefixes = scratch.cut(placed.where(F.col("at") < prefix).select("h", "c", "n", slack.alias("slack")))
+    prefixes = _pairable(_pairable(prefixes, percent, scratch), percent, scratch)
     labels = scratch.cut(prefixes.select("c", F.col("c").alias("comp")).distinct())
-    full = scratch.cut(full.join(if_small(labels), "c", "left_semi"))
+    full = scratch.cut(full.join(labels, "c", "left_semi"))
     links = tried = None
 
-    for step in range(STAR_ROUNDS + 1):
-        mine = prefixes.join(if_small(labels), "c")
+    step = 0
+    while True:
+        mine = scratch.cut(prefixes.join(labels, "c"))
         open_h = mine.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m")).where("lo <> hi")
-        groups = scratch.cut(mine.join(open_h.select("h", "m"), "h"))
-        # pairs of different components over all columns: sum of (m^2 - sum of squares by component) / 2
-        parts = groups.groupBy("h", "comp").agg(F.count("*").alias("k"), F.first("m").alias("m"))
-        left = parts.agg(F.sum(F.col("k") * (F.col("m") - F.col("k")) / 2)).first()[0] or 0
-        if not left:
+        groups = scratch.cut(join_counted(mine, scratch.cut(open_h.select("h", "m")), "h", "m"))
+        scratch.drop(mine)
+        if groups.isEmpty():
             break
-        last = left <= 2 * total or step == STAR_ROUNDS
+        # one row of a component stands for it (at first that of most slack, which has the fewest columns of its
+        # own); of the components the smallest, which are done soonest, give the pivots; more of them in each round
+        key = F.struct((F.xxhash64("c", F.lit(step)) if step else -F.col("slack")).alias("k"), "c", "n", "slack")
+        reps = groups.groupBy("h", "comp").agg(F.count("*").alias("size"), F.first("m").alias("m"), F.min(key).alias("p"))
+        deal = F.pmod(F.xxhash64("comp", F.lit(step)), F.lit(GROWTH**step))
+        pivots = reps.groupBy("h", deal.alias("d")).agg(F.first("m").alias("m"), F.min(F.struct("size", "p", "comp")).alias("z"))
+        pivots = scratch.cut(pivots.select("h", "m", F.col("z.p.c").alias("c"), F.struct("z.p.c", "z.p.n", "z.p.slack", "z.comp").alias("p")))
+        # a column's rows are dealt to tasks by their number
         x = lambda name: F.col(f"p.{name}")
-        if last:
-            other = groups.select("h", F.struct("c", "n", "slack", "comp").alias("p"))
-            pairs = groups.join(other, "h").where((F.col("c") < x("c")) & (F.col("comp") != x("comp")))
-        else:
-            # the first pivots are rows of most slack, which are those with the fewest columns of their own
-            key = F.struct((F.xxhash64("c", F.lit(step)) if step else -F.col("slack")).alias("k"), "c", "n", "slack", "comp")
-            pairs = groups.join(groups.groupBy("h").agg(F.min(key).alias("p")), "h").where(F.col("comp") != x("comp"))
+        spread = lambda m: F.ceil(F.col(m) / HOT_ROWS)
+        copies = pivots.select("h", "p", F.explode(F.sequence(F.lit(0).cast("long"), spread("m") - 1)).alias("s"))
+        pairs = groups.withColumn("s", F.pmod(F.xxhash64("c"), spread("m"))).join(copies, ["h", "s"]).where(F.col("comp") != x("comp"))
         # the first column that two rows share passes this test if they reach the threshold
         pairs = pairs.where((F.col("slack") >= percent * x("n")) & (x("slack") >= percent * F.col("n")))
-        near = pairs.groupBy(F.least("c", x("c")).alias("a"), F.greatest("c", x("c")).alias("b")).agg(F.max(x("c")).alias("p"))
+        near = pairs.groupBy(F.least("c", x("c")).alias("a"), F.greatest("c", x("c")).alias("b")).agg(F.max(F.struct(x("c").alias("c"), "m")).alias("z"))
         if tried is not None:
             near = near.join(tried, ["a", "b"], "left_anti")
-        near = scratch.cut(near.select("a", "b", "p", F.when(F.col("p") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("q")))
+        other = F.when(F.col("z.c") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+        near = scratch.cut(near.select("a", "b", F.col("z.c").alias("p"), other.alias("q"), F.pmod(F.xxhash64(other), F.ceil(F.col("z.m") / HOT_ROWS)).alias("s")))
         rows_of = lambda c, into: full.select(F.col("c").alias(c), F.col("row").alias(into))
-        pivots = scratch.cut(rows_of("p", "y").join(near.select("p").distinct(), "p", "left_semi"))
-        small = (pivots.agg(F.sum(F.size("y"))).first()[0] or 0) <= MOST_BROADCAST
-        found = near.join(rows_of("q", "x"), "q").join(F.broadcast(pivots) if small else pivots, "p")
+        most = pivots.groupBy(F.col("c").alias("p")).agg(F.max("m").alias("m"))
+        wide = rows_of("p", "y").join(most, "p").select("p", "y", F.explode(F.sequence(F.lit(0).cast("long"), spread("m") - 1)).alias("s"))
+        found = near.join(rows_of("q", "x"), "q").join(wide, ["p", "s"])
         found = found.withColumn("overlap", F.size(F.array_intersect("x", "y"))).where(_enough(percent, F.col("overlap"), F.size("x"), F.size("y")))
         found = scratch.cut(found.select("a", "b"))
         links = found if links is None else links.unionByName(found)
@@ -188,8 +195,10 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = P
         la, lb = (labels.select(F.col("c").alias(c), F.col("comp").alias(f"c{c}")) for c in "ab")
         roots = components(found.join(la, "a").join(lb, "b"), scratch, "ca", "cb")
         labels = scratch.cut(labels.join(roots, F.col("comp") == F.col("node"), "left").select("c", F.coalesce("root", "comp").alias("comp")))
-        if last:
-            break
+        # a pivot has met its column's rows; columns of one component are done
+        prefixes = scratch.cut(groups.select("h", "c", "n", "slack").join(pivots.select("h", "c"), ["h", "c"], "left_anti"))
+        scratch.drop(groups)
+        step += 1
     named = classes.join(labels, "c", "left").select("c", "rep", F.coalesce("comp", "c").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = scratch.cut(named.join(smallest, "comp").select("c", "component_id"))

@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from corpusloom.llm import jaccard
+from corpusloom.llm import common, jaccard
 
 
 def brute(rows):
@@ -59,13 +59,30 @@ def test_equals_brute_force(spark, seed):
     assert Counter(tuple(r) for r in out.select("doc_id", "n_shingles", "component_id").collect()) == brute(rows)
 
 
-def test_star_rounds_lose_nothing(spark, monkeypatch):
+@pytest.mark.parametrize(("growth", "hot"), [(1, 1000), (4, 3), (64, 10)])
+def test_rounds_of_pivots_lose_nothing(spark, monkeypatch, growth, hot):
     rows = corpus(4)
-    for rounds in (0, 3):
-        monkeypatch.setattr(jaccard, "STAR_ROUNDS", rounds)
-        df = spark.createDataFrame(rows, "doc_id long, text string")
-        out = jaccard.jaccard_components(df, region=0.1).documents
-        assert Counter(tuple(r) for r in out.select("doc_id", "n_shingles", "component_id").collect()) == brute(rows)
+    monkeypatch.setattr(jaccard, "GROWTH", growth)
+    for module in (jaccard, common):  # columns of more rows are hot
+        monkeypatch.setattr(module, "HOT_ROWS", hot)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = jaccard.jaccard_components(df, region=0.1).documents
+    assert Counter(tuple(r) for r in out.select("doc_id", "n_shingles", "component_id").collect()) == brute(rows)
+
+
+def test_many_texts_of_one_passage_and_groups_of_copies(spark):
+    draw = random.Random(9)
+    word = lambda: f"w{draw.randint(0, 10**6)}"
+    passage, base = [word() for _ in range(60)], [word() for _ in range(50)]
+    rows = [(i, " ".join(passage + [word() for _ in range(draw.randint(4, 14))])) for i in range(150)]
+    for i in range(150):
+        w = list(base)
+        w[draw.randrange(50)] = word()
+        rows.append((1000 + i, " ".join(w)))
+    rows += [(2000 + i, " ".join(base[:k])) for i, k in enumerate(range(36, 50))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = jaccard.jaccard_components(df).documents
+    assert Counter(tuple(r) for r in out.select("doc_id", "n_shingles", "component_id").collect()) == brute(rows)
 
 
 def test_empty(spark):
