@@ -54,3 +54,18 @@ def test_equals_brute_force(spark):
     assert set(pairs) == brute(docs, items)
     assert decontaminate.contaminated(d.where("false"), b).count() == 0
     assert decontaminate.contaminated(d, b.where("false")).count() == 0
+
+
+def test_windows_are_searched_among_their_own_items(spark, monkeypatch):
+    """Rows of the search are linear in windows, also where very many items have one length and long texts hold many of them."""
+    draw = random.Random(5)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(20))) for i in range(60)] + [(None, "the null item has words of its own and more of them")]
+    text = lambda some: " ".join(" ".join(f"x{draw.randint(0, 9999)}" for _ in range(30)) + " " + items[i][1] for i in some)
+    docs = [(0, text(range(60))), (1, text([3])), (2, "y " * 200_000 + items[7][1]), (3, "no item"), (4, f"a b c {items[60][1]} d")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    sizes, cut = [], decontaminate.Scratch.cut
+    monkeypatch.setattr(decontaminate.Scratch, "cut", lambda self, df: (sizes.append((df.columns, out := cut(self, df))), out)[1])
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(d, b).collect()}
+    assert got == {(0, i) for i in range(60)} | {(1, 3), (2, 7), (4, None)}
+    windows = next(df for columns, df in sizes if "mark" in columns and "start" in columns)
+    assert windows.count() == 63 and max(len(r["items"]) for r in windows.collect()) == 1
