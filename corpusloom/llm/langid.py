@@ -1,9 +1,10 @@
 """Language identification (operator 6) by error-correcting output codes.
 
-Every language has a binary codeword. For each bit a linear classifier over byte n-grams (1 to 3
+Every language has a binary codeword. For each bit a linear classifier over byte n-grams (2 and 3
 bytes of the lower-cased letters of the text) says on which side of the bit a text lies. A text
 gets the language whose codeword has the least loss against all bits' margins, each bit weighted
-by how well its classifier does on the sample; if the runner-up is near, it is flagged.
+by how well its classifier does on rows of the sample that it has not learned from (two halves,
+each judged by a classifier of the other); if the runner-up is near, it is flagged.
 
 Training takes a bounded sample (per_language rows of each language, by a hash of the id);
 prediction reads every whole text, in pieces of bounded size.
@@ -33,6 +34,7 @@ PER_LANGUAGE, MANY_LANGUAGES = 600, 200
 SLOTS = 1 << 16
 PIECE = 1 << 18
 AMBIGUOUS = 0.2
+FIT = {"l2": 3e-4, "steps": 60, "rate": 0.05}
 _OTHER = re.compile(r"[\W\d_]+")
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -98,6 +100,15 @@ class Coder:
         return loss.argmin(1), p.max(1), two[:, 1] - two[:, 0] < AMBIGUOUS
 
 
+def _held_margins(x: Sparse, y: np.ndarray) -> np.ndarray:
+    """Margins of each row by a classifier of the other half of the rows."""
+    out, half = np.zeros(x.n), np.arange(x.n) % 2 == 0
+    for part in (half, ~half):
+        w, _, bias = fit(x.take(part), np.zeros((int(part.sum()), 0)), y[part], SLOTS, **FIT)
+        out[~part] = x.take(~part).dot(w) + bias
+    return out
+
+
 def fit_languages(docs: DataFrame, learn: Column | None = None, per_language: int = PER_LANGUAGE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Coder:
     """Learns from at most about per_language documents of each language among the rows where learn holds."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.lit(True) if learn is None else learn))
@@ -120,9 +131,9 @@ def fit_languages(docs: DataFrame, learn: Column | None = None, per_language: in
     weights, bias, trust = np.zeros((SLOTS, code.shape[1]), np.float32), np.zeros(code.shape[1]), np.zeros(code.shape[1])
     for j in range(code.shape[1]):
         y = (code[mine, j] > 0).astype(float)
-        w, _, bias[j] = fit(x, np.zeros((x.n, 0)), y, SLOTS, l2=3e-4, steps=60, rate=0.05)
+        w, _, bias[j] = fit(x, np.zeros((x.n, 0)), y, SLOTS, **FIT)
         margins = x.dot(w) + bias[j]
-        right = ((margins > 0) == (y > 0.5)).mean() if x.n else 0.5
+        right = ((_held_margins(x, y) > 0) == (y > 0.5)).mean() if x.n else 0.5
         usual = float(np.median(np.abs(margins))) or 1.0  # margins are given in units of the sample's, so that shares aren't overconfident
         weights[:, j], bias[j] = w * scale / usual, bias[j] / usual
         trust[j] = max(1e-3, 2 * right - 1)

@@ -108,3 +108,72 @@ def test_every_language_is_learned(spark):
     assert model.languages == [f"l{n:03}" for n in range(203)]
     got = {r.doc_id: r.lang_pred for r in langid.predict_languages(df, model).collect()}
     assert got[2020] == "l202" and sum(got[i] == v for i, _, v in rows) > 0.95 * len(rows)
+
+
+def test_languages_equal_a_plain_decoder(spark):
+    import math
+
+    docs, _ = corpus(300, seed=5)
+    docs = docs + ODD[:4] + [(90005, "¿Qué? la 12 che'l", "xx", None, None)]
+    df = spark.createDataFrame(docs, SCHEMA).repartition(2)
+    model = langid.fit_languages(df)
+    plain = {}
+    for i, text, *_ in docs:
+        letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        if not letters.strip():
+            plain[i] = ("und", 0.0)
+            continue
+        raw = (" " + " ".join(letters.split()) + " ").encode()
+        total, n = [0.0] * model.code.shape[1], 0
+        for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+            three = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32 >> 16
+            two = ((a * 0x27D4EB2F + b * 0x165667B1) % 2**32 ^ 0x5BD1E995) >> 16
+            for slot in (three, two):
+                n += 1
+                for j in range(len(total)):
+                    total[j] += float(model.weights[slot, j])
+        margins = [t / max(1, n) + model.bias[j] for j, t in enumerate(total)]
+        loss = {lang: sum(model.trust[j] * math.log1p(math.exp(-m * model.code[k, j])) for j, m in enumerate(margins)) for k, lang in enumerate(model.languages)}
+        best = min(loss, key=lambda v: (loss[v], v))
+        plain[i] = (best, 1 / sum(math.exp(loss[best] - v) for v in loss.values()))
+        if len(raw) > 100_000:
+            break  # one long text is enough
+    got = {r.doc_id: r for r in langid.predict_languages(df, model).collect()}
+    assert len(plain) > 300
+    for i, (lang, score) in plain.items():
+        assert got[i].lang_pred == lang and abs(got[i].score - score) < 1e-4, i
+
+
+def test_bits_are_trusted_by_rows_they_have_not_seen():
+    rng = np.random.default_rng(0)
+    x = langid.Sparse([rng.choice(langid.SLOTS, 20, replace=False) for _ in range(40)])
+    y = (np.arange(40) // 2 % 2).astype(float)  # nothing to learn
+    w, _, bias = langid.fit(x, np.zeros((40, 0)), y, langid.SLOTS, **langid.FIT)
+    assert (((x.dot(w) + bias) > 0) == (y > 0.5)).mean() == 1.0
+    assert ((langid._held_margins(x, y) > 0) == (y > 0.5)).mean() < 0.8
+
+
+def test_toxicity_equals_a_plain_chain(spark):
+    import math
+    import re
+
+    import xxhash
+
+    docs, labels = corpus(400, seed=6)
+    docs = docs + ODD[:3]
+    df = spark.createDataFrame(docs, SCHEMA).repartition(2)
+    chain = toxicity.fit_toxicity(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    place = {int(h): k for k, h in enumerate(chain.columns)}
+    got = {r.doc_id: r for r in toxicity.score_toxicity(df, chain).collect()}
+    for i, text, *_ in docs:
+        words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
+        features = words | {w[:k] + "*" for w in words for k in (4, 5, 6, 7) if len(w) >= k}
+        at = {place[h] for h in (xxhash.xxh64_intdigest(f.encode()) for f in features) if h in place}
+        before = []
+        for model in chain.models:
+            w, links, bias = model
+            z = sum(float(w[k]) for k in at) + sum((p - 0.5) * float(c) for p, c in zip(before, links, strict=True)) + bias
+            before.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        for name, p in zip(chain.names, before, strict=True):
+            assert abs(got[i][f"p_{name}"] - p) < 1e-4
+        assert got[i].rejected == (got[i].p_toxic >= chain.threshold)
