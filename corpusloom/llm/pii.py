@@ -6,7 +6,8 @@ in code points. Patterns are written with possessive quantifiers and lookbehinds
 leftmost non-overlapping matches unchanged but keep the matcher linear on long runs.
 
 Kinds of the base (email, ip, card, phone) always stay once their check passes. The method adds
-iban (mod-97), ssn, local phone numbers and 13-digit cards (Luhn) where score =
+iban (mod-97), ssn, local phone numbers, secrets (long runs of letters and digits, of many
+different ones, near a word like token or key) and 13-digit cards (Luhn) where score =
 prior + checksum + context reaches THRESHOLD, if they overlap no span already there.
 
 Edge cases: a null text counts as empty; empty texts have no spans and the hash of the empty
@@ -30,6 +31,7 @@ PATTERNS = {
     "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]{3}-[0-9]{2}-"),
     "local": (r"(?<![0-9+(-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9-])", r"[0-9]{3}[\x20.-][0-9]{4}"),
+    "secret": (r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9_-]{28,}+|[A-Za-z0-9+/]{28,}+)={0,2}(?![A-Za-z0-9+/_-])", r"[A-Za-z0-9+/_-]{28}"),
     "oldcard": (r"(?<![0-9-])[0-9](?:[\x20-]?[0-9]){12}(?![0-9-])", r"[0-9][0-9\x20-]{12}"),
 }
 BASE = ("email", "ip", "card", "phone")
@@ -38,6 +40,7 @@ SCORES = {
     "iban": (0.3, 0.5, 0.2, "iban|bank|account|konto|compte|cuenta"),
     "ssn": (0.4, 0.0, 0.4, "ssn|social security|tax id"),
     "local": (0.4, 0.0, 0.4, "phone|tel|call|mobile|fax|telefon|teléfono"),
+    "secret": (0.1, 0.4, 0.3, r"token|secret|passw|key|auth|bearer|credential"),
     "oldcard": (0.1, 0.4, 0.3, "card|visa|credit|karte|carte|tarjeta"),
 }
 THRESHOLD, CONTEXT = 0.75, 40
@@ -69,10 +72,12 @@ CHECKS = {
     "card": lambda m: F.when(F.length(_digits(m)).between(14, 19), luhn(_digits(m))).otherwise(False),
     "phone": lambda m: F.length(_digits(m)).between(10, 15),
     "iban": mod97,
+    # drawn at random: letters and digits, many of them different
+    "secret": lambda m: F.regexp_like(m, F.lit("[0-9]")) & F.regexp_like(m, F.lit("[A-Za-z]")) & (F.size(F.array_distinct(F.split(m, ""))) >= 10),
     "oldcard": lambda m: luhn(_digits(m)),
 }
 #: Checksums whose failure only lowers the score.
-SOFT = ("iban", "oldcard")
+SOFT = ("iban", "secret", "oldcard")
 NONE = "array<struct<start:int,ord:int,end:int,kind:string>>"
 
 
@@ -121,7 +126,7 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     for kind in PATTERNS:
         if kind not in BASE:
             every = F.concat(every, _apart(kind, every))
-    return listed.select("doc_id", F.array_sort("base").alias("base"), F.when(F.size("iban") + F.size("ssn") + F.size("local") + F.size("oldcard") > 0, F.array_sort(every)).otherwise(F.array_sort("base")).alias("all"))
+    return listed.select("doc_id", F.array_sort("base").alias("base"), F.when(sum(F.size(k) for k in PATTERNS if k not in BASE) > 0, F.array_sort(every)).otherwise(F.array_sort("base")).alias("all"))
 
 
 def _of_kind(kind: str) -> Column:
@@ -131,4 +136,4 @@ def _of_kind(kind: str) -> Column:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents"))
     counts = [F.size(_of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("all")).alias("spans"), F.size("all").cast("long").alias("n_spans"), (F.size("all") > 0).alias("has_pii"))

@@ -63,12 +63,22 @@ def test_added_spans(spark):
     assert got[10] == ["iban"] and got[11] == [] and got[12] == ["ssn"] and got[13] == ["local"] and got[14] == ["oldcard"]
 
 
+def test_secrets(spark):
+    token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [f'the token = "{token}" stays', f"no word before {token}", "token " + "ab" * 20, "key: " + "a1" * 20, "token " + "x" * 5000 + " " + "_" * 5000, "api key AbC0/dEf+GhIjKlMnOpQrStUvWxYz12==", None, "", f"{token}@mail.com is a key"]
+    got = {r.doc_id: [tuple(s) for s in r["all"]] for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    kinds = {i: [s[3] for s in found] for i, found in got.items()}
+    assert kinds == {0: ["secret"], 1: [], 2: [], 3: [], 4: [], 5: ["secret"], 6: [], 7: [], 8: ["email"]}
+    assert got[0][0][0] == 13 and got[0][0][2] == 13 + len(token)
+
+
 def test_query_digest(spark, tmp_path):
     spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     for r in pii.op10_pii(spark, str(tmp_path)).collect():
         base = brute(TEXTS[r.doc_id])
         joined = ",".join(f"{k}:{a}:{b}" for a, _, b, k in base)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert r.has_pii == bool(r.spans) and r.n_spans == len([x for x in r.spans.split(",") if x])
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s[3] == k for s in base) for k in PATTERNS)
 
 
