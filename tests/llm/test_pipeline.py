@@ -86,3 +86,40 @@ def test_empty_documents(spark, sf_dir, tmp_path):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert toxicity.op1_toxicity(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_of_null_and_repeated_ids_are_judged_by_their_own_texts(spark, sf_dir):
+    words = lambda tag, n=30: " ".join(f"{tag}{k}" for k in range(n))
+    leak = words("p") + " " + ITEMS[0][1]
+    rows = [
+        (1, words("a"), "s", 0, "x", 5), (2, words("a") + " more", "s", 0, "x", 5),  # near copies
+        (3, words("b"), "s", 0, "x", 5), (3, words("c"), "s", 0, "x", 5), (4, words("c"), "s", 0, "x", 5),  # two texts under one id
+        (None, words("d"), "s", 0, "x", 5), (None, words("d") + " more", "s", 0, "x", 5), (None, words("a"), "s", 0, "x", 5),
+        (None, None, "s", 0, "x", 5), (None, None, "s", 0, "x", 5), (None, " \n", "s", 0, "x", 5), (6, None, "s", 0, "x", 5), (6, None, "s", 0, "x", 5), (7, "", "s", 0, "x", 5),
+        (None, leak, "s", 0, "x", 5), (9, leak, "s", 0, "x", 5), (9, words("e"), "s", 0, "x", 5),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __row int, __gone string, __copy long").repartition(3)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    got = Counter((r[0], r[1]) for r in kept.collect())
+    nulls = [t for i, t in got if i is None and t and t.startswith("d0")]
+    assert len(nulls) == 1 and got[None, nulls[0]] == 1
+    blank = {(None, None): 2, (None, " \n"): 1, (6, None): 1, (7, ""): 1}
+    assert got == Counter({(1, words("a")): 1, (3, words("b")): 1, (3, words("c")): 1, (None, nulls[0]): 1, (9, leak): 1, (9, words("e")): 1, **blank})
+    clean = corpus_pipeline.drop_contaminated(spark, docs, sf_dir)
+    assert clean.columns == docs.columns
+    assert Counter((r[0], r[1]) for r in clean.collect()) == Counter((r[0], r[1]) for r in rows if r[1] != leak)
+    for stage in (corpus_pipeline.drop_toxic, corpus_pipeline.mix_sources):
+        assert stage(spark, docs, sf_dir).columns == docs.columns
+    assert corpus_pipeline.shard(spark, docs, sf_dir).count() == len(rows)
+
+
+def test_native_operators_write_no_table_through_python(spark, sf_dir, monkeypatch):
+    from corpusloom.llm import common
+
+    plans, cut = [], common.Scratch.cut
+    monkeypatch.setattr(common.Scratch, "cut", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(self, df))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    sharding.assign_shards(docs)
+    decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    assert len(plans) > 5 and not any(word in p for p in plans for word in ("Python", "Pandas", "Arrow"))
