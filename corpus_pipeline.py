@@ -4,13 +4,15 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which run() writ
 the shared folder and reads again as the next one's docs, so that a lost executor costs a stage
 at most. All but the last return the columns of documents.
 
-Rows whose doc_id is null cannot be named: they pass the near-duplicate and decontamination
-stages unchanged.
+Rows are told apart by id and text together, so that rows of null and repeated ids are judged by
+their own texts. Rows equal in both are one document, of which the near-duplicate stage keeps one;
+only rows with neither id nor words, which nothing tells apart, all stay. Columns of any name
+pass through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import Scratch, table
@@ -27,18 +29,36 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, chain).where(~F.col("rejected")).select(*docs.columns)
 
 
+def _row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """A name that no column of docs has."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of smallest id; repeated rows of an id are one document."""
-    found = jaccard_components(docs).documents
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    kept = docs.join(stay, docs["doc_id"] == stay["__stay"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    """Of each group of linked documents the one of smallest id (of null ids the last); repeated rows are one document."""
+    named_or_worded = F.col("doc_id").isNotNull() | F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    named = docs.where(named_or_worded)
+    found = jaccard_components(named.select(_row_key().alias("doc_id"), "text")).documents.select(F.col("doc_id").alias("k"), "component_id").distinct()
+    ids = named.select(_row_key().alias("k"), "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k"))
+    stay = found.join(ids, "k").groupBy("component_id").agg(first.alias("s"))
+    row = _unused(docs, "__row")
+    kept = named.withColumn(row, _row_key()).join(stay.select(F.col("s.k").alias(row)), row, "left_semi").dropDuplicates([row])
+    return kept.select(*docs.columns).unionByName(docs.where(~named_or_worded))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(found, docs["doc_id"] == found["__gone"], "left_anti")
+    row = _unused(docs, "__row")
+    found = contaminated(docs.select(_row_key().alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias(row)).distinct()
+    return docs.withColumn(row, _row_key()).join(found, row, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
