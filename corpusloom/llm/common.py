@@ -94,7 +94,7 @@ def join_counted(rows: DataFrame, facts: DataFrame, key: str | list[str], count:
     """
     most = max(HOT_ROWS, rows.count() // HOT_SHARE)
     hot = F.broadcast(facts.where(F.col(count) > most))
-    rest = rows.join(hot.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(facts.where(F.col(count) <= most), key)
+    rest = rows.join(hot.select(*([key] if isinstance(key, str) else key)), key, "left_anti").join(facts.where(F.col(count) <= most).hint("shuffle_hash"), key)
     return rows.join(hot, key).unionByName(rest)
 
 
