@@ -9,9 +9,9 @@ A corpus is too large for one suffix array, so strings that may be equal are bro
    block with a core (the bytes all its windows share) and a hull (all bytes of its windows).
    A core met once: no window of the block repeats. A hull met twice: all of them do.
 3. Suffix arrays. What is left are cores met with different hulls, the ends of repeats. The
-   different hulls of a core are laid side by side in a text of bounded size, its suffix array
-   is built by linear grouping (see suffixes), and neighbours in it that agree on LENGTH bytes
-   are repeats.
+   different hulls of a core are laid side by side in a text of bounded size, with one symbol for
+   the core that all of them and all their windows hold; its suffix array is built by linear
+   grouping (see suffixes), and neighbours in it that agree on a window's length are repeats.
 4. A core with more than MOST_HULLS hulls is not taken into one task: its blocks are cut up,
    with cores and hulls counted anew (with map-side combine), until they are single windows.
 
@@ -46,7 +46,7 @@ from .suffixes import suffix_array
 from .words import mix64
 
 LENGTH, GRAM, STEP = 400, 64, 42
-MOST_HULLS, HULLS_A_TASK, BLOCK_BYTES = 400, 2_000, 1 << 16
+MOST_HULLS, HULLS_A_TASK, BLOCK_SYMBOLS = 400, 8_000, 1 << 16
 PIECE = 1 << 19
 #: Keys of texts that a task remembers.
 KNOWN = 200_000
@@ -252,50 +252,55 @@ def _mark(h: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         return mix64(h + (x * 4096 + y).astype(np.int64).view(np.uint64) * np.uint64(_BASE)).view(np.int64)
 
 
-def repeated_windows(strings: list[bytes], length: int) -> list[np.ndarray]:
-    """Of each string, the starts of windows that are found at two places in the strings, by one suffix array."""
-    text = b"\0".join(strings)
-    begins = np.cumsum([0, *(len(s) + 1 for s in strings)])
-    order = np.array(suffix_array([c + 1 for c in text]), np.int64)
+def repeated_windows(strings: list[list[int]], windows: list[int], lengths: list[int]) -> list[np.ndarray]:
+    """Of each string, the starts below windows of runs of its length that are found at two such places in the strings, by one suffix array. Strings of different lengths have no run in common."""
+    text: list[int] = []
+    begins = [0]
+    for s in strings:
+        text += s
+        text.append(1)
+        begins.append(len(text))
+    order = np.array(suffix_array(text), np.int64)
     owner = np.searchsorted(begins, order, side="right") - 1
-    order = order[order + length <= begins[owner + 1] - 1]  # windows that lie inside their string
+    order = order[order - np.array(begins)[owner] < np.array([*windows, 0])[owner]]
     hit, before = np.zeros(len(text) + 1, bool), None
+    sizes = np.repeat(lengths, np.diff(begins)).tolist()
     for i, p in enumerate(order.tolist()):
-        window = text[p : p + length]
+        window = text[p : p + sizes[p]]
         if window == before:
             hit[p] = hit[order[i - 1]] = True
         before = window
-    return [np.nonzero(hit[begins[i] : begins[i] + len(s)])[0] for i, s in enumerate(strings)]
+    return [np.nonzero(hit[begins[i] : begins[i + 1] - 1])[0] for i in range(len(strings))]
 
 
-def _arrays(length: int):
-    """Rows (core, key, s, bytes), those of a core together -> (key, s, e) of runs of repeated windows."""
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (core, key, s, n, left, right, length), those of a core together: n windows from s on, the bytes before and behind the core, and a window's length with the core as one symbol -> (key, s, e) of runs of repeated windows."""
+    held: list[tuple[int, int, int, int]] = []
+    strings: list[list[int]] = []
+    size, core, symbol = 0, None, 257
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
-        size, core = 0, None
-
-        def made() -> pa.RecordBatch:
-            rows: list[tuple[int, int, int]] = []
-            for (key, s, _), found in zip(held, repeated_windows([h[2] for h in held], length), strict=True):
-                if len(found):
-                    cut = np.nonzero(np.diff(found) > 1)[0]
-                    rows += [(key, s + int(x), s + int(y)) for x, y in zip(found[np.append(0, cut + 1)], found[np.append(cut, len(found) - 1)], strict=True)]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["key", "s", "e"])
+    def made() -> pa.RecordBatch:
+        rows: list[tuple[int, int, int]] = []
+        for (key, s, _, _), found in zip(held, repeated_windows(strings, [h[2] for h in held], [h[3] for h in held]), strict=True):
+            if len(found):
+                cut = np.nonzero(np.diff(found) > 1)[0]
+                rows += [(key, s + int(x), s + int(y)) for x, y in zip(found[np.append(0, cut + 1)], found[np.append(cut, len(found) - 1)], strict=True)]
+        held.clear()
+        strings.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["key", "s", "e"])
 
-        for b in batches:
-            for c, key, s, raw in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                if c != core and size > BLOCK_BYTES:  # cores are kept whole; several fill a block
+    for b in batches:
+        for c, key, s, n, left, right, length in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+            if c != core:
+                if size > BLOCK_SYMBOLS:  # cores are kept whole; several fill a block
                     yield made()
-                    size = 0
-                core = c
-                held.append((key, s, raw))
-                size += len(raw)
-        if held:
-            yield made()
-
-    return run
+                    size, symbol = 0, 257
+                core, symbol = c, symbol + 1
+            held.append((key, s, n, length))
+            strings.append([*(x + 1 for x in left), symbol, *(x + 1 for x in right)])
+            size += len(strings[-1])
+    if held:
+        yield made()
 
 
 def _parts(length: int, step: int):
@@ -354,14 +359,21 @@ def repeated_runs(texts: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     lists = some.groupBy("key").agg(F.collect_list(F.struct("core", "hulls", "s", "e", "a")).alias("spots")).select(F.col("key").alias("k"), spots.alias("spots"))
     cut = full.join(lists, F.col("key") == F.col("k")).select("key", F.col("text").cast("binary").alias("raw"), F.explode("spots").alias("p"))
     hulls = scratch.cut(cut.select("key", "p.*", F.substring(F.col("raw"), (F.col("p.s") + 1).cast("int"), (F.col("p.e") - F.col("p.s") + length).cast("int")).alias("bytes")))
-    few = hulls.where(F.col("hulls") <= most_hulls).select("core", "key", "s", "bytes")
+    # all hulls of a core have its bytes in common: one symbol stands for them
+    kind = F.floor((F.col("a") - F.col("s")) / step)
+    near, far = kind * step, F.least(kind * step + step - 1, F.lit(length - gram))
+    before = (F.col("a") - near - F.col("s")).cast("int")
+    core = F.lit(length) - (far - near)
+    few = hulls.where(F.col("hulls") <= most_hulls).select(
+        "core", "key", "s", (F.col("e") - F.col("s") + 1).alias("n"), F.substring("bytes", F.lit(1), before).alias("left"),
+        F.substring(F.col("bytes"), (before + core + 1).cast("int"), F.lit(length)).alias("right"), (far - near + 1).alias("length"),
+    )
     # a task's work is bounded by its bytes of text, however many there are
-    few = few.repartition(max(1, hulls.count() // HULLS_A_TASK), "core").sortWithinPartitions("core").mapInArrow(_arrays(length), "key long, s long, e long")
+    few = few.repartition(max(1, hulls.count() // HULLS_A_TASK), "core").sortWithinPartitions("core").mapInArrow(_arrays, "key long, s long, e long")
     runs = runs.unionByName(few)
 
     # cores of very many hulls: their blocks are cut up until each is one window
-    kind = F.floor((F.col("a") - F.col("s")) / step)
-    many = hulls.where(F.col("hulls") > most_hulls).select("key", "s", "e", "a", (kind * step).alias("near"), F.least(kind * step + step - 1, F.lit(length - gram)).alias("far"), "bytes")
+    many = hulls.where(F.col("hulls") > most_hulls).select("key", "s", "e", "a", near.alias("near"), far.alias("far"), "bytes")
     while step > 1:
         step = max(1, round(step**0.5)) if step > 4 else 1
         parts = scratch.cut(many.mapInArrow(_parts(length, step), "core long, hull long, id long, key long, s long, e long, a long, near long, far long, bytes binary"))
