@@ -72,15 +72,6 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of a few numbers each up to which a written table is broadcast (some tens of MB); beyond, it is joined by a shuffle.
-MOST_BROADCAST_ROWS = 1_000_000
-
-
-def if_small(df: DataFrame, most: int = MOST_BROADCAST_ROWS) -> DataFrame:
-    """A written table of ids or numbers, marked for broadcast if its count allows it."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 #: Rows of one key that a task may well have; of a larger table, this share of its rows.
 HOT_ROWS, HOT_SHARE = 1_000, 100_000
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MOST_BROADCAST_ROWS, Scratch, small_batches, table
+from .common import Scratch, small_batches, table
 from .words import WordHash, mix64, shingle_hashes, word_hashes
 
 TERM_WORDS, BITS = 3, 128
@@ -192,11 +192,9 @@ def near(marks: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks: int
     # conv gives a signed 64-bit value for a negative base
     shape = lambda df: df.where(F.col(mark).isNotNull()).groupBy(F.col(mark)).agg(F.count("*").alias("n")).select(F.col(mark).alias("mark"), "n", half(1).alias("hi"), half(17).alias("lo"))
     keyed = lambda df: df.select("*", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("hi").bitwiseAND(F.lit(a)).alias("a"), F.col("lo").bitwiseAND(F.lit(b)).alias("b")) for t, (a, b) in enumerate(tables(radius, blocks))])).alias("key"))
-    asked = shape(queries)
-    small = asked.count() * len(tables(radius, blocks)) <= MOST_BROADCAST_ROWS
-    left = keyed(asked).select(F.col("mark").alias("query"), F.col("hi").alias("qhi"), F.col("lo").alias("qlo"), "key")
+    left = keyed(shape(queries)).select(F.col("mark").alias("query"), F.col("hi").alias("qhi"), F.col("lo").alias("qlo"), "key")
     distance = F.bit_count(F.col("hi").bitwiseXOR(F.col("qhi"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("qlo")))
-    found = keyed(shape(marks)).join(F.broadcast(left) if small else left, "key").withColumn("distance", distance).where(F.col("distance") <= radius)
+    found = keyed(shape(marks)).join(left, "key").withColumn("distance", distance).where(F.col("distance") <= radius)
     return found.groupBy("query", F.col("mark").alias("found")).agg(F.first("distance").alias("distance"), F.first("n").alias("n"))
 
 
