@@ -32,5 +32,5 @@ def parsed(spark: SparkSession, sf_dir: str) -> structure.Structure:
 
 
 def kept(spark: SparkSession, sf_dir: str) -> structure.Structure:
-    """The structure, parsed once and written, for plans that read it more than once."""
+    """The structure, parsed once and written, for plans that read links and headings more than once; those that need headings alone parse nothing else, and are faster without."""
     return structure.parse(derived_corpus(spark, sf_dir), keep=True)
