@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ranked, table
+from .common import Scratch, ranked, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in order, repeating; the most epochs of a source.
@@ -65,6 +65,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, .
     budget, so that a source misses its target by half a document at most.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("text_key"))
+    rows = Scratch(docs.sparkSession).cut(rows)  # five plans below read the sizes: words are counted once
     weight = F.lit(QUALITY_WEIGHT[None])
     if quality is not None:
         best = quality.groupBy("doc_id").agg(F.max("quality").alias("quality"))
