@@ -12,7 +12,9 @@ Edge cases: null and empty texts, and texts without letters, have no features an
 models' base rates, but are never rejected; labels with nulls are left out of a category's
 training; ids labelled more than once count with the greatest label; a category of which the
 sample lacks either class always gets probability 0; repeated rows get equal results; an empty
-table gives none; other columns pass through untouched.
+table gives none; other columns pass through untouched, but for those named like a result, which
+only accepted_documents returns. Rows of one id and text count once in training; where ids repeat
+so often that the sample would be over twice its size, a share of its texts by hash is taken.
 """
 
 from __future__ import annotations
@@ -134,9 +136,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, samp
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
     marks = marks.where(place < int(share * 1_000_000))  # about 4 MB of ids at most
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(marks), "doc_id")
+    found = rows.select("doc_id").count()
+    if found > 2 * sample_rows:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < 2_000_000 * sample_rows // found)
     rows = rows.select("doc_id", *names, F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), "text")
     kinds = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *[T.StructField(n, T.IntegerType()) for n in [*names, "fold"]], T.StructField("hashes", T.BinaryType())])
-    got = rows.mapInArrow(_featurise, kinds).toArrow().sort_by([("doc_id", "ascending"), ("hashes", "ascending")])
+    got = rows.mapInArrow(_featurise, kinds).distinct().toArrow().sort_by([("doc_id", "ascending"), ("hashes", "ascending")])
     y = np.column_stack([got.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in names]) if got.num_rows else np.zeros((0, len(names)))
     hashes = [np.frombuffer(h, np.uint64) for h in got.column("hashes").to_pylist()]
     folds = got.column("fold").to_numpy()
@@ -170,15 +175,27 @@ def _scorer(chain: Chain):
     return score
 
 
-def score_toxicity(docs: DataFrame, chain: Chain, reject: str = REJECT, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns keep of docs (default all), p_<category> for each category, and rejected (boolean). A narrow map."""
+def _scored(docs: DataFrame, chain: Chain, reject: str, text: str, keep: list[str]) -> DataFrame:
+    """c0, c1, ...: the columns keep of docs, then the categories' probabilities; and whether a row is rejected. Names of docs clash with none of them."""
     small_batches(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
     fields = [T.StructField(f"c{i}", docs.schema[k].dataType) for i, k in enumerate(keep)]
     made = [T.StructField(f"c{len(keep) + j}", T.DoubleType()) for j in range(len(chain.names))]
-    out = docs.select(*[F.col(f"`{k}`").alias(f"c{i}") for i, k in enumerate(keep)], F.col(text).alias("__text")).mapInArrow(_scorer(chain), T.StructType(fields + made))
-    hit = F.col(f"c{len(keep) + chain.names.index(reject)}") >= chain.threshold
-    return out.select(*[F.col(f"c{i}").alias(k) for i, k in enumerate(keep)], *[F.col(f"c{len(keep) + j}").alias(f"p_{n}") for j, n in enumerate(chain.names)], hit.alias("rejected"))
+    out = docs.select(*[F.col(f"`{k}`").alias(f"c{i}") for i, k in enumerate(keep)], F.col(text).alias("text")).mapInArrow(_scorer(chain), T.StructType(fields + made))
+    return out.withColumn("hit", F.col(f"c{len(keep) + chain.names.index(reject)}") >= chain.threshold)
+
+
+def score_toxicity(docs: DataFrame, chain: Chain, reject: str = REJECT, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """The columns keep of docs (default all but those named like the next ones), p_<category> for each category, and rejected (boolean). A narrow map."""
+    made = [*(f"p_{n}" for n in chain.names), "rejected"]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in made]
+    out = _scored(docs, chain, reject, text, keep)
+    return out.toDF(*keep, *made)
+
+
+def accepted_documents(docs: DataFrame, chain: Chain, reject: str = REJECT, text: str = "text") -> DataFrame:
+    """The rows of docs that the chain does not reject, with all their columns, whatever their names."""
+    out = _scored(docs, chain, reject, text, docs.columns).where(~F.col("hit"))
+    return out.select(*[F.col(f"c{i}").alias(k) for i, k in enumerate(docs.columns)])
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
