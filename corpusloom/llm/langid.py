@@ -118,9 +118,9 @@ def fit_languages(docs: DataFrame, learn: Column | None = None, per_language: in
         return Coder([], np.ones((0, 0)), np.zeros((SLOTS, 0), np.float32), np.zeros(0), np.zeros(0))
     most = max(1, min(per_language, per_language * MANY_LANGUAGES // len(languages)))
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], max(1, int(min(1.0, most / r["count"]) * 1_000_000)))])
-    place = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1_000_000))
+    place = F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1_000_000))  # null or repeated ids are no one place
     sample = rows.where(place < F.try_element_at(share, F.col(lang))).select(F.col(doc_id).cast("string").alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    got = sample.mapInArrow(_histogram, "id string, lang string, slots binary, shares binary").orderBy("id", "lang", F.xxhash64("slots", "shares")).toArrow()
+    got = sample.mapInArrow(_histogram, "id string, lang string, slots binary, shares binary").distinct().orderBy("id", "lang", F.xxhash64("slots", "shares")).toArrow()
     x = Sparse([np.frombuffer(s, np.int32) for s in got.column("slots").to_pylist()], [np.sqrt(np.frombuffer(s, np.float32)) for s in got.column("shares").to_pylist()])
     mine = np.array([languages.index(v) for v in got.column("lang").to_pylist()], np.int64)
     code = codewords(len(languages))
