@@ -20,13 +20,13 @@ from corpusloom.llm.decontaminate import contaminated
 from corpusloom.llm.jaccard import jaccard_components
 from corpusloom.llm.mixing import mixed_documents
 from corpusloom.llm.sharding import assign_shards
-from corpusloom.llm.toxicity import fit_toxicity, score_toxicity
+from corpusloom.llm.toxicity import accepted_documents, fit_toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain does not reject."""
     chain = fit_toxicity(docs, table(spark, sf_dir, "labels"))
-    return score_toxicity(docs, chain).where(~F.col("rejected")).select(*docs.columns)
+    return accepted_documents(docs, chain)
 
 
 def _row_key() -> Column:
