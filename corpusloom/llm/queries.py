@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, langid, mixing, pii, repeats, sharding, simhash, toxicity, urls
+from . import decontaminate, elkan, jaccard, langid, media, mixing, pii, repeats, sharding, simhash, toxicity, urls, whitening
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_urls": urls.op8_urls,
     "op9_mixing": mixing.op9_mixing,
     "op10_pii": pii.op10_pii,
+    "op11_clusters": elkan.op11_clusters,
+    "op12_media": media.op12_media,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES = {
     "op2_jaccard": jaccard.ORACLE,
     "op5_repeats": repeats.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op11_clusters": elkan.ORACLE,
 }
