@@ -113,6 +113,24 @@ def _step(centres: np.ndarray, before: np.ndarray | None, last: bool) -> Callabl
     return run
 
 
+def _changes(k: int, dims: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of the vectors that changed their cluster: a row a cluster with what its sums gain, the number of vectors last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gain = np.zeros((k, dims + 1), np.int64)
+        for b in batches:
+            x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.int64)
+            for column, sign in (("cluster", 1), ("was", -1)):
+                of = b.column(column).to_numpy(zero_copy_only=False)
+                for j in np.unique(of[of >= 0]):
+                    mine = of == j
+                    gain[j, :dims] += sign * x[mine].sum(0)
+                    gain[j, dims] += sign * mine.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(list(gain), pa.list_(pa.int64()))], names=["c", "s"])
+
+    return run
+
+
 def clustered(vectors: DataFrame, scratch: Scratch, k: int = CLUSTERS, rounds: int = ROUNDS, salt: str = SALT) -> tuple[DataFrame, list[list[int]]]:
     """Rows (vec_id, x, cluster, distance, computed) of vectors (vec_id, x), and the centroids.
 
@@ -139,11 +157,12 @@ def clustered(vectors: DataFrame, scratch: Scratch, k: int = CLUSTERS, rounds: i
         state, before, n = after, centres, n + 1
         if last:
             return state.select("vec_id", "x", "cluster", "distance", "computed"), centres.tolist()
-        moved = state.where("cluster <> was").select("x", F.explode(F.array(F.struct(F.col("cluster").alias("c"), F.lit(1).alias("sign")), F.struct(F.col("was").alias("c"), F.lit(-1).alias("sign")))).alias("m")).where("m.c >= 0")
-        each = [F.sum(F.get("x", F.lit(i)).cast("long") * F.col("m.sign")) for i in range(dims)]
-        for r in moved.groupBy(F.col("m.c").alias("c")).agg(F.sum("m.sign").alias("n"), F.array(*each).alias("s")).collect():  # one row a cluster
-            counts[r["c"]] += r["n"]
-            sums[r["c"]] = [a + b for a, b in zip(sums[r["c"]], r["s"], strict=True)]
+        gains = state.where("cluster <> was").select("x", "cluster", "was").mapInArrow(_changes(k, dims), "c int, s array<long>").select("c", F.posexplode("s").alias("i", "v"))
+        for r in gains.groupBy("c", "i").agg(F.sum("v").alias("v")).collect():  # the size of the centroids
+            if r["i"] == dims:
+                counts[r["c"]] += r["v"]
+            else:
+                sums[r["c"]][r["i"]] += r["v"]
         centres = np.array([[s // m for s in row] if m else old for row, m, old in zip(sums, counts, centres.tolist(), strict=True)], np.int64)
 
 

@@ -30,6 +30,8 @@ from .common import small_batches, table
 UNIT, RATE = 64, 8_000
 #: Samples of a frame, from one frame to the next, and frames that are transformed at once.
 FRAME, HOP, BLOCK = 256, 128, 2_048
+#: Powers are counted in steps of one STEPSth, so that rounding does not decide between bins that are equal.
+STEPS = 16
 #: Edges of the bands in bins; the lowest bins only have the mean.
 BANDS = (2, 12, 32, 64, 129)
 #: Peaks that a peak is paired with, and the most frames between them.
@@ -66,7 +68,7 @@ def strongest(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         part = np.concatenate([part, np.zeros((m - 1) * HOP + FRAME - len(part))])
         frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
         spectrum = np.fft.rfft((frames - frames.mean(1, keepdims=True)) * window, axis=1)
-        power = spectrum.real**2 + spectrum.imag**2
+        power = np.rint((spectrum.real**2 + spectrum.imag**2) * STEPS)
         for k, (low, high) in enumerate(zip(BANDS, BANDS[1:], strict=False)):
             best = power[:, low:high].argmax(1)
             bins[at : at + m, k], powers[at : at + m, k] = best + low, np.take_along_axis(power[:, low:high], best[:, None], 1)[:, 0]
@@ -77,7 +79,7 @@ def peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(frame, bin) of each peak, by frame and bin."""
     bins, powers = strongest(samples)
     edge = np.zeros((1, powers.shape[1]))
-    top = (powers >= np.concatenate([edge, powers[:-1]])) & (powers > np.concatenate([powers[1:], edge])) & (powers > 1e-6)
+    top = (powers >= np.concatenate([edge, powers[:-1]])) & (powers > np.concatenate([powers[1:], edge])) & (powers > 0)
     frame, band = np.nonzero(top)
     return frame, bins[frame, band]
 
