@@ -1,17 +1,12 @@
-"""HTML pieces that built-in functions cannot express, in Arrow batches and only for the rows that need them."""
+"""The fragment format: its class hooks and targets, and what is read from fragments and other markup. All in column expressions."""
 
 from __future__ import annotations
 
-import html
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from .text import normalized_plain
+from . import markup
+from .entities import unescape
 
 #: Fixed values of the fragment format: the prefix of its class hooks, and their names.
 PREFIX = "mdhv"
@@ -22,83 +17,25 @@ HOOKS = (
 #: Page zones, whose marker comments the shell holds, and in-page targets of the shell.
 ZONES = ("STRAP", "TOC", "GRAPH", "FINDINGS", "FILES")
 CHROME = tuple(f"#{PREFIX}-{name}" for name in ("top", "toc", "graph", "findings", "files"))
-# Elements without an end tag, and those that break a line.
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BREAKING = frozenset("br p div li ul ol tr td th table section article header footer h1 h2 h3 h4 h5 h6 blockquote pre hr".split())
+def normalized(text: Column) -> Column:
+    """The content words of a text: tags removed, references decoded, other runs one blank, lower case."""
+    return F.lower(F.trim(F.regexp_replace(unescape(F.regexp_replace(text, r"<[^<>]*>", "")), r"[^\p{L}\p{N}]+", " ")))
 
 
-@F.pandas_udf(StringType())
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+def with_normalized(df: DataFrame, text: str, into: str) -> DataFrame:
+    return df.withColumn(into, normalized(F.col(text)))
 
 
-def with_normalized(df: DataFrame, text: str, into: str) -> DataFrame:
-    """Adds the content words of text. Only rows that hold an & go through Python."""
-    plain = df.where(F.col(text).isNull() | ~F.contains(F.col(text), F.lit("&"))).withColumn(into, normalized_plain(F.col(text)))
-    other = df.where(F.contains(F.col(text), F.lit("&")))
-    other = other.withColumn(into, _unescape(F.regexp_replace(text, r"<[^<>]*>", "")))
-    return plain.unionByName(other.withColumn(into, F.lower(F.trim(F.regexp_replace(into, r"[^\p{L}\p{N}]+", " ")))))
-
-
-class Facets(HTMLParser):
-    """In-page hrefs of real <a> tags, and the texts of outermost contract elements, in order."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.hrefs: list[str] = []
-        self.blocks: list[str] = []
-        self.open: list[bool] = []
-        self.text: list[str] = []
-
-    def _break(self, tag: str) -> None:
-        if tag in BREAKING and any(self.open):
-            self.text.append(" ")
-
-    def handle_starttag(self, tag, attrs):
-        if tag == "a":
-            self.hrefs += [v for k, v in attrs if k == "href" and v and v.startswith("#")]
-        self._break(tag)
-        if tag not in VOID:
-            self.open.append(any(k == "class" and v and f"{PREFIX}-contract" in v.split() for k, v in attrs))
-
-    def handle_startendtag(self, tag, attrs):
-        if tag == "a":
-            self.hrefs += [v for k, v in attrs if k == "href" and v and v.startswith("#")]
-        self._break(tag)
-
-    def handle_endtag(self, tag):
-        if tag in VOID or not self.open:
-            return
-        self._break(tag)
-        if self.open.pop() and not any(self.open):
-            self.blocks.append("".join(self.text))
-            self.text = []
-
-    def handle_data(self, data):
-        if any(self.open):
-            self.text.append(data)
-
-
-def facets_of(source: str) -> Facets:
-    out = Facets()
-    out.feed(source)
-    out.close()
-    return out
+def contract_blocks(fragments: DataFrame, key: str = "slug", body: str = "html") -> DataFrame:
+    """(key, blocks, open) of fragments that have contract elements, see markup.class_blocks."""
+    return markup.class_blocks(fragments, key, body, f"{PREFIX}-contract")
 
 
 def html_facets(fragments: DataFrame, key: str = "slug", body: str = "html") -> DataFrame:
-    """(key, kind, ord, value): kind href or contract, in document order."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for k, source in zip(b["k"], b["html"], strict=True):
-                found = facets_of(source)
-                rows += [(k, "href", i, v) for i, v in enumerate(found.hrefs)] + [(k, "contract", i, v) for i, v in enumerate(found.blocks)]
-            yield pd.DataFrame(rows, columns=[key, "kind", "ord", "value"])
-
-    rows = fragments.where(F.contains(F.col(body), F.lit("<"))).select(F.col(key).alias("k"), F.col(body).alias("html"))
-    return rows.mapInPandas(run, f"{key} string, kind string, ord int, value string")
+    """(key, kind, ord, value): kind href (in-page links) or contract (texts of outermost contract elements), in document order."""
+    hrefs = fragments.select(key, F.lit("href").alias("kind"), F.posexplode(markup.page_hrefs(F.col(body))).alias("ord", "value"))
+    blocks = contract_blocks(fragments, key, body).select(key, F.lit("contract").alias("kind"), F.posexplode("blocks").alias("ord", "value"))
+    return hrefs.unionByName(blocks)
 
 
 # Fixed value: the attribute that names the source headings of an element.

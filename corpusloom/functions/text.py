@@ -141,11 +141,6 @@ def scalar_value(value: Column) -> Column:
     )
 
 
-def normalized_plain(text: Column) -> Column:
-    """The content words of a text that needs no entity unescaping: tags removed, other runs one blank, lower case."""
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^<>]*>", ""), r"[^\p{L}\p{N}]+", " ")))
-
-
 # Language codes and the code points of their scripts; Latin last.
 SCRIPTS = (
     ("ru", r"Ѐ-ӿ"),

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from ..functions import html as H
 from ..functions import text as T
 from ..functions.cut import cut
-from ..functions.html import PREFIX, facets_of
+from ..functions import markup
+from ..functions.html import PREFIX
 
 
 def fragments_of(files: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -40,9 +41,11 @@ def coverage_gaps(files: DataFrame, headings: DataFrame, fragments: DataFrame) -
 
 def contract_text(fragments: DataFrame) -> DataFrame:
     """(slug, shown): the normalised texts of a fragment's contract elements, joined in order."""
-    blocks = H.with_normalized(H.html_facets(fragments).where("kind = 'contract'"), "value", "words").where("words <> ''")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "words"))), lambda x: x["words"]), " ")
-    return blocks.groupBy("slug").agg(joined.alias("shown"))
+    return H.contract_blocks(fragments).select("slug", _shown(F.col("blocks")).alias("shown"))
+
+
+def _shown(blocks: Column) -> Column:
+    return F.array_join(F.filter(F.transform(blocks, H.normalized), lambda w: w != ""), " ")
 
 
 def contract_violations(contracts: DataFrame, sources: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -163,12 +166,16 @@ def reconcile(files: DataFrame, headings: DataFrame, fragments: DataFrame, secti
     claimed = reconcile_coverage(files, headings, have, sections).join(have.select("slug"), "slug", "left_semi")
     claims = claimed.where("section_id is not null").groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("id", "section_id"))).alias("ids"))
     wanted = contracts.groupBy("slug").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("contracts"))
-    rows = have.join(claims, "slug", "left").select("slug", "html", closed(F.col("html"), F.col("ids")).alias("body")).join(wanted, "slug", "left").join(sources.select("slug", F.col("text").alias("source")), "slug", "left")
+    bodies = cut(have.join(claims, "slug", "left").select("slug", "html", closed(F.col("html"), F.col("ids")).alias("body")))
+    blocks = H.contract_blocks(bodies, body="body").select("slug", _shown(F.col("blocks")).alias("shown"), "open")
+    rows = bodies.join(blocks, "slug", "left").join(wanted, "slug", "left").join(sources.select("slug", F.col("text").alias("source")), "slug", "left")
+    # where an element or tag is left open at the end, what is appended is not an element of its own
+    rows = rows.select("slug", "html", "body", "contracts", "source", F.coalesce("shown", F.lit("")).alias("shown"), (F.coalesce("open", F.lit(False)) | markup.unfinished(F.col("body"))).alias("open"))
 
     def fold(batches):
         for b in batches:
             out = []
-            for slug, source, body, wants, text in zip(b["slug"], b["html"], b["body"], b["contracts"], b["source"], strict=True):
+            for slug, source, body, wants, text, shown, ajar in zip(b["slug"], b["html"], b["body"], b["contracts"], b["source"], b["shown"], b["open"], strict=True):
                 kept, items, seen, src = [], [], set(), _words(text or "")
                 for c in wants if wants is not None else ():
                     needle = _words(c["text"] or "")
@@ -181,8 +188,9 @@ def reconcile(files: DataFrame, headings: DataFrame, fragments: DataFrame, secti
                         continue
                     if not _present(needle, src):
                         items.append(("genuine_gaps", "contracts", needle))
-                    elif not _present(needle, " ".join(w for w in map(_words, facets_of(body).blocks) if w)):
+                    elif not _present(needle, shown):
                         body += f'<div class="{PREFIX}-contract">{html.escape(c["text"])}</div>'
+                        shown = shown if ajar else f"{shown} {needle}".strip()
                         items.append(("auto_closed", "contracts", needle))
                 out.append((slug, body, body != source, kept, items))
             yield pd.DataFrame(out, columns=["slug", "html", "changed", "kept", "items"])
