@@ -7,9 +7,12 @@ last step, brings them together into one document.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
+from html import escape
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -17,6 +20,7 @@ from pyspark.sql.types import StringType
 from ..functions import html as H
 from ..functions import text as T
 from ..functions.cut import cut
+from ..functions.ranks import numbered
 from . import gates, graph as G
 
 P = H.PREFIX
@@ -133,11 +137,11 @@ def graph_zone(files: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def ordered_findings(findings: DataFrame) -> DataFrame:
-    """findings with place: by type (known ones first, then by name), severity, and their own order."""
+    """findings with place, their number from 0: by type (known ones first, then by name), severity, and their own order."""
     kind = F.coalesce("type", F.lit("other"))
     known = F.coalesce(*[F.when(kind == t, i) for i, (t, _) in enumerate(TYPES)], F.lit(len(TYPES)))
     rank = F.coalesce(*[F.when(F.col("severity") == s, i) for i, (s, _) in enumerate(SEVERITY)], F.lit(99))
-    return findings.withColumn("place", F.struct(known.alias("known"), kind.alias("type"), rank.alias("rank"), F.col("ord").alias("ord")))
+    return numbered(findings, [known, kind, rank, F.col("ord")], "place")
 
 
 def findings_per_file(findings: DataFrame) -> DataFrame:
@@ -145,66 +149,97 @@ def findings_per_file(findings: DataFrame) -> DataFrame:
     return findings.select(F.explode(F.array_distinct("files")).alias("slug")).where("slug <> ''").groupBy("slug").agg(F.count("*").alias("findings"))
 
 
-def linkify(findings: DataFrame, ids: DataFrame, columns: tuple[str, ...]) -> DataFrame:
-    """findings with the columns escaped, and section ids in them turned into links that show the section's title; the longest id wins.
+def section_ids(files: DataFrame, headings: DataFrame) -> DataFrame:
+    """(id, title) of all files and headings; of a file's equal ids the last heading's."""
+    names = files.select(F.concat("slug", F.lit("--file")).alias("id"), F.coalesce(F.nullif("title", F.lit("")), "slug").alias("title"), F.lit(-1).alias("pos"))
+    heads = headings.select("id", F.coalesce(F.nullif("text", F.lit("")), F.nullif("anchor", F.lit("")), "id").alias("title"), F.col("pos").cast("int").alias("pos"))
+    return names.unionByName(heads).groupBy("id").agg(F.max_by("title", "pos").alias("title"))
 
-    Pieces of the texts as long as some id are joined to ids(id, title), so that a text meets only
-    the ids it holds, whatever their number.
+
+@F.pandas_udf(StringType())
+def _woven(texts: pd.Series, found: pd.Series) -> pd.Series:
+    """Escaped texts with their links; of the links in a text the leftmost, and of those the longest, go first."""
+
+    def one(text: str | None, links) -> str:
+        text, out, at = text or "", [], 0
+        for x in links if links is not None else ():  # by start, longest first
+            if x["start"] >= at:
+                end = x["start"] + len(x["id"])
+                out += [escape(text[at : x["start"]]), f'<a href="#{escape(x["id"])}">{escape(x["title"])}</a>']
+                at = end
+        return "".join([*out, escape(text[at:])])
+
+    return pd.Series([one(t, f) for t, f in zip(texts, found, strict=True)], dtype=object)
+
+
+def linkify(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(k, html) of texts(k, text): escaped, and section ids in them turned into links that show the section's title.
+
+    An id is a slug, --, and an anchor, so that it can only stand around a hinge of the text: the
+    begin of a run of two or more hyphens. What stands before a hinge, up to the one before, may end
+    in a slug: its endings are joined to the slugs, which makes at most as many rows as the texts
+    have characters. Behind a slug only beginnings as long as some anchor of its file are joined to
+    the ids. No text meets an id that it does not hold, whatever their number. k has to be unique.
     """
-    from html import escape
-
-    ids = cut(ids.where("id <> ''").select(F.col("id").alias("__id"), F.col("title").alias("__title")))
-    lengths = [r[0] for r in ids.select(F.length("__id")).distinct().collect()]  # one number a length
-    # section ids have -- between slug and anchor; if all do, so do the pieces that can be one
-    mark = "" if ids.where(~F.col("__id").contains("--")).limit(1).count() else "--"
-
-    @F.pandas_udf(StringType())
-    def linked(texts: pd.Series, found: pd.Series) -> pd.Series:
-        def one(text: str | None, here) -> str:
-            text, out, at = text or "", [], 0
-            titles = {x["id"]: x["title"] for x in here} if here is not None else {}
-            known = re.compile("|".join(map(re.escape, sorted(titles, key=lambda i: (-len(i), i))))) if titles else None
-            for m in known.finditer(text) if known else ():
-                out += [escape(text[at : m.start()]), f'<a href="#{escape(m[0])}">{escape(titles[m[0]])}</a>']
-                at = m.end()
-            return "".join([*out, escape(text[at:])])
-
-        return pd.Series([one(t, f) for t, f in zip(texts, found, strict=True)], dtype=object)
-
-    for c in columns:
-        texts = findings.select(F.col(c).alias("__text")).where(F.col("__text").contains(mark)).distinct()
-        sizes = texts.select("__text", F.explode(F.array(*[F.lit(n) for n in lengths]).cast("array<int>")).alias("n")).where(F.length("__text") >= F.col("n"))
-        pieces = sizes.select("__text", "n", F.explode(F.sequence(F.lit(1), F.length("__text") - F.col("n") + 1)).alias("i"))
-        pieces = pieces.select("__text", F.col("__text").substr(F.col("i"), F.col("n")).alias("__id")).where(F.col("__id").contains(mark))
-        held = pieces.join(ids, "__id").groupBy("__text").agg(F.collect_set(F.struct(F.col("__id").alias("id"), F.col("__title").alias("title"))).alias("__found"))
-        findings = findings.join(held, F.col(c) == F.col("__text"), "left").withColumn(c, linked(F.col(c), F.col("__found"))).drop("__text", "__found")
-    return findings
+    head = F.substring_index("id", "--", 1)
+    ids = cut(ids.where(F.instr("id", "--") > 1).select(head.alias("head"), F.substring(F.col("id"), F.length(head) + 3, F.length("id")).alias("tail"), "id", "title"))
+    longest = ids.agg(F.coalesce(F.max(F.length("head")), F.lit(0)).alias("head"), F.coalesce(F.max(F.length("tail")), F.lit(0)).alias("tail")).first()
+    before, behind = longest["head"], longest["tail"]
+
+    def hinges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            row, at, left, right = [], [], [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                end = 0
+                for m in re.finditer("--+", text):
+                    row.append(i)
+                    at.append(m.start())
+                    left.append(text[max(end, m.start() - before) : m.start()])
+                    right.append(text[m.start() + 2 : m.start() + 2 + behind])
+                    end = m.start() + 2
+            yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(row, pa.int64())), pa.array(at, pa.int32()), pa.array(left, pa.string()), pa.array(right, pa.string())], names=["k", "at", "left", "right"])
+
+    kind = texts.schema["k"].dataType.simpleString()
+    found = texts.where(F.contains("text", F.lit("--"))).select("k", "text").mapInArrow(hinges, f"k {kind}, at int, left string, right string")
+    found = found.where("left <> ''").select("k", "at", "right", "left", F.explode(F.sequence(F.lit(1), F.length("left"))).alias("n"))
+    found = found.select("k", "at", "right", F.expr("right(left, n)").alias("head"))
+    lengths = ids.groupBy("head").agg(F.collect_set(F.length("tail")).alias("lengths"))
+    found = found.join(lengths, "head").select("k", "at", "head", "right", F.explode("lengths").alias("m")).where(F.length("right") >= F.col("m"))
+    found = found.select("k", (F.col("at") - F.length("head")).alias("start"), "head", F.expr("left(right, m)").alias("tail")).join(ids, ["head", "tail"])
+    held = found.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("start", (-F.length("id")).alias("short"), "id", "title"))).alias("links"))
+    return texts.join(held, "k", "left").select("k", _woven("text", "links").alias("html"))
 
 
 def findings_zone(findings: DataFrame, files: DataFrame, headings: DataFrame) -> DataFrame:
-    ids = files.select(F.concat("slug", F.lit("--file")).alias("id"), F.coalesce("title", "slug").alias("title")).unionByName(headings.select("id", F.coalesce(F.nullif("text", F.lit("")), "anchor").alias("title")))
-    names = files.select(F.col("slug").alias("s"), F.coalesce("title", "slug").alias("t"))
-    rows = ordered_findings(linkify(findings, ids.dropDuplicates(["id"]), ("title", "description")))
-    # chips and claims by finding, in their own order
-    chips = rows.select("ord", F.posexplode("files").alias("i", "slug")).where("slug <> ''").join(names, F.col("slug") == F.col("s"), "left")
+    """The cards of the findings in their order, grouped by type; ord of the findings has to be unique."""
+    findings = ordered_findings(findings)
+    names = files.select(F.col("slug").alias("s"), F.coalesce(F.nullif("title", F.lit("")), "slug").alias("t"))
+    # chips, texts and claims by finding, in their own order
+    chips = findings.select("ord", F.posexplode("files").alias("i", "slug")).where("slug <> ''").join(names, F.col("slug") == F.col("s"), "left")
     chips = chips.groupBy("ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", file_link(F.col("slug"), F.coalesce("t", "slug")).alias("c")))), lambda x: x["c"]), "").alias("chips"))
-    good = (F.size("claims") >= 2) & F.forall("claims", lambda c: F.coalesce(F.trim(c["claim"]) != "", F.lit(False)))
-    cells = linkify(rows.where(good).select("ord", F.posexplode("claims").alias("i", "c")).select("ord", "i", "c.file", "c.claim"), ids.dropDuplicates(["id"]), ("claim",)).join(names, F.col("file") == F.col("s"), "left")
+    good = (F.size("claims") >= 2) & F.forall("claims", lambda c: F.coalesce(T.strip(c["claim"]) != "", F.lit(False)))
+    text = lambda c: F.struct(F.lit(c).alias("field"), F.lit(0).alias("i"), F.col(c).alias("text"), F.lit(None).cast("string").alias("file"))
+    told = F.transform(F.when(good, F.col("claims")).otherwise(F.array().cast(findings.schema["claims"].dataType)), lambda c, i: F.struct(F.lit("claim").alias("field"), i.alias("i"), c["claim"].alias("text"), c["file"].alias("file")))
+    texts = findings.select("ord", F.explode(F.concat(F.array(text("title"), text("description")), told)).alias("x")).select(F.struct("ord", "x.field", "x.i", "x.file").alias("k"), F.coalesce("x.text", F.lit("")).alias("text"))
+    said = linkify(texts, section_ids(files, headings)).select("k.*", "html").join(names, F.col("file") == F.col("s"), "left")
     who = F.when(F.col("s").isNotNull(), file_link(F.col("file"), F.col("t"))).otherwise(cat(f'<span class="{P}-node">', T.esc(F.col("file")), "</span>"))
-    cell = cat(f'<div class="{P}-finding-claim"><span class="{P}-finding-claim-file">', who, "</span><p>", F.col("claim"), "</p></div>")
-    grid = cells.groupBy("ord").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", cell.alias("c")))), lambda x: x["c"]), "").alias("grid"))
-    rows = rows.join(chips, "ord", "left").join(grid, "ord", "left")
+    cell = cat(f'<div class="{P}-finding-claim"><span class="{P}-finding-claim-file">', who, "</span><p>", F.col("html"), "</p></div>")
+    cells = F.array_sort(F.collect_list(F.when(F.col("field") == "claim", F.struct("i", cell.alias("c")))))
+    said = said.groupBy("ord").agg(*[F.max(F.when(F.col("field") == c, F.col("html"))).alias(f"{c}_html") for c in ("title", "description")], F.nullif(F.array_join(F.transform(cells, lambda x: x["c"]), ""), F.lit("")).alias("grid"))
+    # where the groups of types begin and end
+    kind = F.coalesce("type", F.lit("other"))
+    edges = findings.groupBy(kind.alias("kind")).agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    rows = findings.withColumn("kind", kind).join(edges, "kind").join(said, "ord").join(chips, "ord", "left")
     severity = F.coalesce("severity", F.lit("low"))
     icon = F.coalesce(*[F.when(severity == s, i) for s, i in SEVERITY], F.lit("○"))
     card = cat(
-        f'<article class="{P}-finding {P}-severity-', severity, f'"><span class="{P}-severity-', severity, '-badge"><span aria-hidden="true">', icon, f'</span> <span class="{P}-severity-label">', T.esc(F.upper(severity)), "</span></span><h3>", F.coalesce("title", F.lit("")), "</h3><p>", F.coalesce("description", F.lit("")), "</p>",
+        f'<article class="{P}-finding {P}-severity-', severity, f'"><span class="{P}-severity-', severity, '-badge"><span aria-hidden="true">', icon, f'</span> <span class="{P}-severity-label">', T.esc(F.upper(severity)), "</span></span><h3>", F.col("title_html"), "</h3><p>", F.col("description_html"), "</p>",
         F.coalesce(cat(f'<div class="{P}-finding-compare">', F.col("grid"), "</div>"), F.lit("")), f'<div class="{P}-finding-files">', F.coalesce("chips", F.lit("")), "</div></article>",
     )
-    first = F.row_number().over(Window.partitionBy("place.type").orderBy("place")) == 1
-    label = F.coalesce(*[F.when(F.col("place.type") == t, v) for t, v in TYPES], F.col("place.type"))
-    head = F.when(first, cat("<h2>", T.esc(label), "</h2>")).otherwise(F.lit(""))
-    order = F.format_string("%d %s %02d %019d", F.col("place.known"), F.col("place.type"), F.col("place.rank"), F.col("place.ord"))
-    return rows.select(F.lit("FINDINGS").alias("zone"), order.alias("ord"), F.concat(head, card).alias("html"))
+    label = F.coalesce(*[F.when(F.col("kind") == t, v) for t, v in TYPES], F.col("kind"))
+    begin = F.when(F.col("place") == F.col("first"), cat(f'<div class="{P}-findings-group" data-type="', T.esc(F.col("kind")), '"><h2>', T.esc(label), "</h2>")).otherwise("")
+    end = F.when(F.col("place") == F.col("last"), "</div>").otherwise("")
+    return rows.select(F.lit("FINDINGS").alias("zone"), F.format_string("%019d", "place").alias("ord"), F.concat(begin, card, end).alias("html"))
 
 
 def files_zone(files: DataFrame, fragments: DataFrame, findings: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as T
+from ..functions.ranks import numbered
 from ..operators import gates, graph, overview, scope, structure
 from ..sources.derived import CORPUS_SQL, derived_corpus
 from .registry import kept as _kept
@@ -362,17 +363,20 @@ def contract_violations(spark, sf_dir):
 
 
 FINDINGS_SQL = r""", findings AS (
-  SELECT row_number() OVER (ORDER BY "from", "to") - 1 AS ord, "from" AS a, "to" AS b, CASE WHEN strength = 'weak' THEN 'high' WHEN reason LIKE 'direct%' THEN 'medium' ELSE 'info' END AS severity FROM edges)"""
+  SELECT row_number() OVER (ORDER BY "from", "to") - 1 AS ord, "from" AS a, "to" AS b, reason, CASE WHEN strength = 'weak' THEN 'high' WHEN reason LIKE 'direct%' THEN 'medium' ELSE 'info' END AS severity,
+    CASE WHEN strength = 'weak' THEN 'signal_noise' WHEN reason LIKE 'direct%' THEN 'contradiction' ELSE 'naming' END AS kind FROM edges)"""
 
 
-def findings_of(s: structure.Structure) -> DataFrame:
-    """Findings by rule, one an edge; a file's own name comes twice."""
+def findings_of(s: structure.Structure, in_order: bool = False) -> DataFrame:
+    """Findings by rule, one an edge; a file's own name comes twice, and ids of sections, real and made up, in the texts. in_order: numbered by their files, else by a hash of them."""
     rows = graph.edges_of(s)
+    rows = numbered(rows, [F.col("from"), F.col("to")], "ord") if in_order else rows.withColumn("ord", F.pmod(F.xxhash64("from", "to"), F.lit(2**62)))
     severity = F.when(F.col("strength") == "weak", "high").when(F.col("reason").startswith("direct"), "medium").otherwise("info")
     kind = F.when(F.col("strength") == "weak", "signal_noise").when(F.col("reason").startswith("direct"), "contradiction").otherwise("naming")
     claim = lambda c: F.struct(F.col(c).alias("file"), F.concat(F.lit("see "), F.col(c), F.lit("--file")).alias("claim"))
     claims = F.array(claim("from"), claim("to"))
-    return rows.select(F.pmod(F.xxhash64("from", "to"), F.lit(2**62)).alias("ord"), kind.alias("type"), severity.alias("severity"), F.array("from", "to", "from").alias("files"), F.col("reason").alias("title"), F.concat(F.lit("from "), "from", F.lit("--file <to> "), "to").alias("description"), claims.alias("claims"))
+    told = F.concat(F.lit("from "), "from", F.lit("--file <to> "), "to", F.lit("--user-12x, no--user & "), "to", F.lit("--lost"))
+    return rows.select("ord", kind.alias("type"), severity.alias("severity"), F.array("from", "to", "from").alias("files"), F.col("reason").alias("title"), told.alias("description"), claims.alias("claims"))
 
 
 @query("WITH " + PARSED_SQL + " SELECT slug, count(*) AS findings FROM (SELECT \"from\" AS slug FROM edges UNION ALL SELECT \"to\" FROM edges) GROUP BY slug")
@@ -385,6 +389,35 @@ def severity_tally(spark, sf_dir):
     return overview.severity_tally(findings_of(_kept(spark, sf_dir)))
 
 
+PLACED_SQL = FINDINGS_SQL + r""", placed AS (
+  SELECT *, row_number() OVER (ORDER BY CASE kind WHEN 'contradiction' THEN 0 WHEN 'signal_noise' THEN 2 ELSE 3 END, kind, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 99 END, ord) - 1 AS place FROM findings)"""
+
+
+@query("WITH " + PARSED_SQL + PLACED_SQL + " SELECT place, ord, kind AS type, severity FROM placed")
+def findings_order(spark, sf_dir):
+    """All findings with their number on the page."""
+    return overview.ordered_findings(findings_of(_kept(spark, sf_dir), in_order=True)).select("place", "ord", "type", "severity")
+
+
+@query("WITH " + PARSED_SQL + PLACED_SQL + r""", titles AS (SELECT id, arg_max(text, pos) AS title FROM headings GROUP BY id),
+cards AS (
+  SELECT p.*, f.title AS a_title, t.title AS b_title, coalesce('<a href="#' || x.id || '">' || x.title || '</a>x', '<a href="#' || y.id || '">' || y.title || '</a>2x', '<a href="#' || z.id || '">' || z.title || '</a>-12x', b || '--user-12x') AS cited
+  FROM placed p JOIN files f ON p.a = f.slug JOIN files t ON p.b = t.slug LEFT JOIN titles x ON x.id = b || '--user-12' LEFT JOIN titles y ON y.id = b || '--user-1' LEFT JOIN titles z ON z.id = b || '--user')
+SELECT place, CASE WHEN place = min(place) OVER (PARTITION BY kind) THEN '<div class="mdhv-findings-group" data-type="' || kind || '"><h2>' || CASE kind WHEN 'contradiction' THEN 'Contradictions' WHEN 'signal_noise' THEN 'Signal / noise' ELSE kind END || '</h2>' ELSE '' END
+  || '<article class="mdhv-finding mdhv-severity-' || severity || '"><span class="mdhv-severity-' || severity || '-badge"><span aria-hidden="true">' || CASE severity WHEN 'high' THEN '⚠' WHEN 'medium' THEN '◆' ELSE '○' END || '</span> <span class="mdhv-severity-label">' || upper(severity) || '</span></span><h3>' || replace(reason, '''', '&#x27;') || '</h3><p>'
+  || 'from <a href="#' || a || '--file">' || a_title || '</a> &lt;to&gt; ' || cited || ', no--user &amp; ' || b || '--lost</p>'
+  || '<div class="mdhv-finding-compare"><div class="mdhv-finding-claim"><span class="mdhv-finding-claim-file"><a class="mdhv-node" href="#' || a || '--file">' || a_title || '</a></span><p>see <a href="#' || a || '--file">' || a_title || '</a></p></div>'
+  || '<div class="mdhv-finding-claim"><span class="mdhv-finding-claim-file"><a class="mdhv-node" href="#' || b || '--file">' || b_title || '</a></span><p>see <a href="#' || b || '--file">' || b_title || '</a></p></div></div>'
+  || '<div class="mdhv-finding-files"><a class="mdhv-node" href="#' || a || '--file">' || a_title || '</a><a class="mdhv-node" href="#' || b || '--file">' || b_title || '</a><a class="mdhv-node" href="#' || a || '--file">' || a_title || '</a></div></article>'
+  || CASE WHEN place = max(place) OVER (PARTITION BY kind) THEN '</div>' ELSE '' END AS html
+FROM cards""")
+def findings_zone(spark, sf_dir):
+    """The cards of all findings, in their order, with links to the sections that their texts name."""
+    s = _kept(spark, sf_dir)
+    zone = overview.findings_zone(findings_of(s, in_order=True), s.files, s.headings)
+    return zone.select(F.col("ord").cast("long").alias("place"), "html")
+
+
 @query("WITH " + PARSED_SQL + " SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM edges) AS edges, CASE WHEN (SELECT count(*) FROM files) <= 3 OR (SELECT count(*) FROM edges) = 0 THEN 'chips' ELSE 'diagram' END AS mode")
 def graph_mode(spark, sf_dir):
     s = _kept(spark, sf_dir)

@@ -254,16 +254,6 @@ def test_layout_is_over_all_edges(spark):
     assert {r["slug"]: r["layer"] for r in graph.diagram(strong).collect()} != want
 
 
-def test_more_ids_than_one_pattern_holds(spark):
-    many = spark.range(1_000_001).select(F.concat(F.lit("f--s"), "id").alias("id"), F.concat(F.lit("<T"), "id", F.lit(">")).alias("title"))
-    rows = spark.createDataFrame([(1, "see f--s12 & f--s1000000, f--s9999999", "x"), (2, None, "f--"), (3, "f--s12", "f--s12")], "ord long, a string, b string")
-    got = {r["ord"]: (r["a"], r["b"]) for r in overview.linkify(rows, many, ("a", "b")).collect()}
-    link = lambda n: f'<a href="#f--s{n}">&lt;T{n}&gt;</a>'
-    assert got == {1: (f"see {link(12)} &amp; {link(1000000)}, {link(999999)}9", "x"), 2: ("", "f--"), 3: (link(12), link(12))}
-    none = overview.linkify(rows, many.where("false"), ("a",))
-    assert {r["ord"]: r["a"] for r in none.collect()}[1] == "see f--s12 &amp; f--s1000000, f--s9999999"
-
-
 def test_places_in_layers_against_plain_sweeps():
     import random
 
