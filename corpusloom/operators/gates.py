@@ -95,7 +95,16 @@ def gate_report(files: DataFrame, headings: DataFrame, fragments: DataFrame, con
 def page_failures(pages: DataFrame) -> DataFrame:
     """The fourth gate's rows of a report: pages(html) that load anything from elsewhere."""
     rows = pages.select(F.posexplode(H.fetches(F.col("html"))).alias("ord", "f"))
-    return rows.select(F.lit(GATES[3]).alias("gate"), F.lit("").alias("path"), "ord", F.lit("").alias("slug"), F.col("f.snippet").alias("item"), F.concat("f.label", F.lit(": "), T.quoted(F.col("f.snippet"))).alias("message"))
+    return _fetch_rows(rows.select("ord", "f.label", "f.snippet"))
+
+
+def fetch_failures(found: DataFrame) -> DataFrame:
+    """The same of found(i, label, what): what a page loads from elsewhere, whole, by the kind's place."""
+    return _fetch_rows(found.select(F.col("i").alias("ord"), "label", F.when(F.length("what") > 80, F.concat(F.substring("what", 1, 80), F.lit("..."))).otherwise(F.col("what")).alias("snippet")))
+
+
+def _fetch_rows(rows: DataFrame) -> DataFrame:
+    return rows.select(F.lit(GATES[3]).alias("gate"), F.lit("").alias("path"), "ord", F.lit("").alias("slug"), F.col("snippet").alias("item"), F.concat("label", F.lit(": "), T.quoted(F.col("snippet"))).alias("message"))
 
 
 def failure_arrays(report: DataFrame) -> DataFrame:

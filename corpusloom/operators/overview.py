@@ -21,6 +21,7 @@ from ..functions import html as H
 from ..functions import text as T
 from ..functions.cut import cut
 from ..functions.ranks import numbered
+from ..sources import sinks
 from . import gates, graph as G
 
 P = H.PREFIX
@@ -268,17 +269,10 @@ FRAMES = {
 EMPTY_FINDINGS = f'<p class="{P}-findings-empty">No cross-file findings.</p>'
 
 
-def markers(zone: str) -> tuple[str, str]:
-    return f"<!-- {P.upper()}:{zone}:START -->", f"<!-- {P.upper()}:{zone}:END -->"
-
-
 def inject(document: str, zone: str, body: str) -> str:
     """The document with body between the zone's markers, which stay."""
-    begin, end = markers(zone)
-    a, b = document.find(begin), document.find(end)
-    if a < 0 or b < a:
-        raise ValueError(f"the shell lacks the markers of {zone}, or has them out of order")
-    return f"{document[: a + len(begin)]}\n{body}\n{document[b:]}"
+    (_, before), (_, behind) = sinks.split_shell(document, [zone])
+    return f"{before}\n{body}\n{behind}"
 
 
 def write_page(parts: DataFrame, shell: str) -> str:
@@ -295,7 +289,7 @@ def write_page(parts: DataFrame, shell: str) -> str:
 def default_shell() -> str:
     """A plain shell with all markers and styles for every hook."""
     styles = " ".join(f".{P}-{h}{{}}" for h in H.HOOKS)
-    body = "\n".join("".join(markers(z)) for z in H.ZONES)
+    body = "\n".join("".join(sinks.zone_markers(z)) for z in H.ZONES)
     return f'<!DOCTYPE html>\n<html><head><meta charset="utf-8"><style>{styles}</style></head>\n<body id="{P}-top">\n{body}\n</body></html>\n'
 
 
@@ -308,12 +302,16 @@ def page_report(files: DataFrame, edges: DataFrame, findings: DataFrame, failure
     return row.crossJoin(one(gates.failure_arrays(failures))).select("files", "sections", "findings", "graph_mode", *gates.GATES)
 
 
+def write_document(parts: DataFrame, shell: str, path: str, publish: bool = True) -> dict[str, str]:
+    """Writes the page by tasks, see sources.sinks.write_page; returns the remote resources for which it was not written. publish=False: looks for them, and writes nothing."""
+    return sinks.write_page(parts, [F.col("ord"), F.col("html")], path, shell, FRAMES, {"FINDINGS": EMPTY_FINDINGS}, publish)
+
+
 def publish(parts: DataFrame, shell: str, files: DataFrame, edges: DataFrame, findings: DataFrame, failures: DataFrame, path: str) -> dict:
     """The page's report. The document is written to path only if no gate failed, the fourth one over the whole document included; else nothing is written."""
-    document = write_page(parts, shell)
-    page = parts.sparkSession.createDataFrame([(document,)], "html string")
-    report = page_report(files, edges, findings, failures.unionByName(gates.page_failures(page))).first().asDict(recursive=True)
-    if not any(report[g] for g in gates.GATES):
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(document)
-    return report
+    failures = cut(failures)
+    found = write_document(parts, shell, path, publish=failures.isEmpty())
+    rows = [(i, label, found[label]) for i, (label, _) in enumerate(H.FETCHES) if label in found]
+    fetched = parts.sparkSession.createDataFrame(rows, "i int, label string, what string")
+    report = page_report(files, edges, findings, failures.unionByName(gates.fetch_failures(fetched)))
+    return report.first().asDict(recursive=True)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import gates
+from . import sinks
 
 # The steps of a run in order, and a step's states.
 STEPS = ("preflight", "parse", "render", "verify", "crossfile", "assemble", "report")
@@ -69,8 +70,18 @@ def write_structure(session: str, meta: dict, files: DataFrame, nodes: DataFrame
     rows = _rows(files)
     named = {} if groups is None else {"groups": _rows(groups.drop("members").orderBy("group"))}
     _dump(os.path.join(session, "structure.json"), {"meta": {**meta, "file_count": len(rows)}, "files": rows, **named, "graph": {"nodes": _rows(nodes), "edges": _rows(edges)}})
-    for r in slices.toLocalIterator():
-        _dump(os.path.join(session, "slices", f"{r['slug']}.json"), json.loads(r["slice"]))
+    write_slices(slices, os.path.join(session, "slices"))
+
+
+def write_slices(slices: DataFrame, path: str) -> None:
+    """slices(slug, slice) as one file a slug, by tasks; the folder is there with all of them or not at all."""
+    sinks.write_keyed(slices.select(F.concat("slug", F.lit(".json")).alias("name"), F.concat("slice", F.lit("\n")).alias("body")), path)
+
+
+def read_slices(spark: SparkSession, path: str) -> DataFrame:
+    """(slug, slice) of a folder of slices."""
+    rows = sinks.read_keyed(spark, path)
+    return rows.select(F.regexp_replace("name", r"\.json\z", "").alias("slug"), F.regexp_replace(F.col("body").cast("string"), r"\n\z", "").alias("slice"))
 
 
 RECORD = (
