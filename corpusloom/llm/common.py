@@ -153,3 +153,23 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         later = out.select(F.col("node").alias("root"), F.col("root").alias("__r"))
         out = scratch.cut(earlier.join(later, "root", "left").select("node", F.coalesce("__r", "root").alias("root")))
     return out
+
+
+#: States that running() gathers before it starts another array.
+RUN = 256
+
+
+def running(items: str, start: str, step: str, kind: str) -> str:
+    """SQL of the states after each element of an array, each made of the one before and the element; kind is their type.
+
+    step is an expression of the state, `t.at`, and the element, `x`. A fold that appends to one
+    array copies it at each element. Here a fold over blocks of RUN elements appends to a short
+    array, and arrays of blocks are strung together at the end, so that arrays of any length take
+    time in proportion to it, but for a small share. (SQL, as column functions take a call to the
+    JVM for each of its parts.)
+    """
+    none = f"cast(array() AS array<{kind}>)"
+    inside = f"aggregate(b, named_struct('at', s.at, 'out', {none}), (t, x) -> get(transform(array({step}), n -> named_struct('at', n, 'out', concat(t.out, array(n)))), 0))"
+    blocks = f"transform(sequence(1, size(v), {RUN}), i -> slice(v, i, {RUN}))"
+    done = f"aggregate({blocks}, named_struct('at', cast({start} AS {kind}), 'out', cast(array() AS array<array<{kind}>>)), (s, b) -> get(transform(array({inside}), r -> named_struct('at', r.at, 'out', concat(s.out, array(r.out)))), 0))"
+    return f"get(transform(array({items}), v -> if(size(v) > 0, flatten({done}.out), {none})), 0)"

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import running, table
 
 LOCAL = r"A-Za-z0-9._%+-"
 #: Base kinds in their listed order, then added ones: pattern, and a cheap test that any match needs.
@@ -81,13 +81,28 @@ SOFT = ("iban", "secret", "oldcard")
 NONE = "array<struct<start:int,ord:int,end:int,kind:string>>"
 
 
-def spans(text: Column, kind: str) -> Column:
-    """array<struct<start, ord, end, kind>> of the kind's confirmed matches in text; positions in code points."""
-    pattern, quick = PATTERNS[kind]
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")))
-    empty = F.array().cast("array<struct<start:int,m:string>>")
-    step = lambda s, p: F.struct((s["at"] + p["gap"] + F.coalesce(F.length(p["m"]), F.lit(0))).alias("at"), F.when(p["m"].isNull(), s["out"]).otherwise(F.concat(s["out"], F.array(F.struct((s["at"] + p["gap"]).alias("start"), p["m"].alias("m"))))).alias("out"))
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: s["out"])
+def _placed(text: str, kind: str) -> str:
+    """SQL of the kind's matches, array<struct<start, m>>; of scored kinds with what stands around them."""
+    pattern = f"r'{PATTERNS[kind][0]}'"
+    pairs = f"zip_with(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0), (gap, m) -> named_struct('gap', gap, 'm', m))"
+    after = "t.at + length(x.gap) + coalesce(length(x.m), 0)"
+    if kind not in SCORES:
+        placed = f"zip_with(p, {running('p', '0', after, 'int')}, (x, at) -> named_struct('start', at - length(x.m), 'm', x.m))"
+    else:
+        state = "struct<at:int,before:string,tail:string>"
+        before = f"right(concat(t.at.tail, x.gap), {CONTEXT})"
+        step = f"named_struct('at', t.at.at + length(x.gap) + coalesce(length(x.m), 0), 'before', {before}, 'tail', right(concat({before}, coalesce(x.m, '')), {CONTEXT}))"
+        states = running("p", "named_struct('at', 0, 'before', '', 'tail', '')", step, state)
+        # five matches and gaps have more than CONTEXT characters
+        behind = "concat_ws('', " + ", ".join(f"get(p, i + {k}).gap, get(p, i + {k}).m" for k in range(1, 6)) + ")"
+        near = f"transform(p, (x, i) -> named_struct('m', x.m, 'behind', left({behind}, {CONTEXT})))"
+        placed = f"zip_with({near}, {states}, (x, at) -> named_struct('start', at.at - length(x.m), 'm', x.m, 'around', concat(at.before, ' ', x.behind)))"
+    return f"filter(get(transform(array({pairs}), p -> {placed}), 0), x -> x.m IS NOT NULL)"
+
+
+def spans(text: str, kind: str) -> Column:
+    """array<struct<start, ord, end, kind>> of the kind's confirmed matches in the column text; positions in code points. Time grows in proportion to the matches."""
+    found = F.expr(_placed(text, kind))
     if kind in CHECKS and kind not in SOFT:
         found = F.filter(found, lambda x: CHECKS[kind](x["m"]))
     if kind in SCORES:
@@ -95,23 +110,31 @@ def spans(text: Column, kind: str) -> Column:
 
         def enough(x: Column) -> Column:
             passed = F.when(CHECKS[kind](x["m"]), check).otherwise(-1.0) if kind in SOFT else F.lit(check)
-            start = F.greatest(F.lit(0), x["start"] - CONTEXT)
-            around = F.concat(F.substring(text, start + 1, x["start"] - start), F.lit(" "), F.substring(text, x["start"] + F.length(x["m"]) + 1, F.lit(CONTEXT)))
-            return F.lit(prior) + passed + F.when(F.regexp_like(F.lower(around), F.lit(words)), near).otherwise(0.0) >= THRESHOLD
+            return F.lit(prior) + passed + F.when(F.regexp_like(F.lower(x["around"]), F.lit(words)), near).otherwise(0.0) >= THRESHOLD
 
         found = F.filter(found, enough)
     order = list(PATTERNS).index(kind)
     out = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(order).alias("ord"), (x["start"] + F.length(x["m"])).cast("int").alias("end"), F.lit(kind).alias("kind")))
-    return F.when(F.regexp_like(text, F.lit(quick)), out).otherwise(F.array().cast(NONE))
+    return F.when(F.regexp_like(text, F.lit(PATTERNS[kind][1])), out).otherwise(F.array().cast(NONE))
 
 
 def _joined(found: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(found), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _apart(kind: str, before: Column) -> Column:
-    """The kind's spans that overlap none of those before."""
-    return F.filter(kind, lambda s: ~F.exists(before, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+#: Pairs of spans that are compared one by one; of more, each is compared with its neighbours among all in order.
+FEW_PAIRS = 4_096
+
+
+def _apart(kind: str, ord: int, before: str) -> str:
+    """SQL of the kind's spans that overlap none of those before, which are of kinds with lesser ord."""
+    each = f"filter({kind}, x -> NOT exists({before}, b -> b.start < x.end AND x.start < b.end))"
+    reach = running("a", "-1", f"if(x.ord = {ord}, t.at, greatest(t.at, x.end))", "int")
+    follow = running("reverse(a)", str(2**31 - 1), f"if(x.ord = {ord}, t.at, x.start)", "int")
+    around = f"zip_with({reach}, reverse({follow}), (f, g) -> named_struct('reach', f, 'follow', g))"
+    free = f"filter(zip_with(a, {around}, (x, n) -> named_struct('x', x, 'n', n)), e -> e.x.ord = {ord} AND e.n.reach <= e.x.start AND e.n.follow >= e.x.end)"
+    merged = f"get(transform(array(array_sort(concat({before}, {kind}))), a -> transform({free}, e -> e.x)), 0)"
+    return f"if(cast(size({kind}) AS bigint) * size({before}) <= {FEW_PAIRS}, {each}, {merged})"
 
 
 def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -120,13 +143,13 @@ def find_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     A narrow projection; texts without a digit or @ are not looked at further.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kinds = rows.select("doc_id", *[spans(F.col("text"), k).alias(k) for k in PATTERNS])
-    listed = kinds.select("doc_id", F.concat(*BASE).alias("base"), *[k for k in PATTERNS if k not in BASE])
-    every = F.col("base")
-    for kind in PATTERNS:
+    kinds = rows.select("doc_id", *[spans("text", k).alias(k) for k in PATTERNS])
+    found = kinds.withColumn("base", F.array_sort(F.concat(*BASE)))
+    found = found.withColumn("all", F.col("base"))
+    for ord, kind in enumerate(PATTERNS):
         if kind not in BASE:
-            every = F.concat(every, _apart(kind, every))
-    return listed.select("doc_id", F.array_sort("base").alias("base"), F.when(sum(F.size(k) for k in PATTERNS if k not in BASE) > 0, F.array_sort(every)).otherwise(F.array_sort("base")).alias("all"))
+            found = found.withColumn("all", F.expr(f"if(size({kind}) = 0, `all`, concat(`all`, {_apart(kind, ord, '`all`')}))"))
+    return found.select("doc_id", "base", F.array_sort("all").alias("all"))
 
 
 def _of_kind(kind: str) -> Column:
