@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, running, table
 
 #: (verdict, host, path) of each rule; the list is a parameter of bounded size.
 RULES = (
@@ -56,22 +56,27 @@ def rule_for(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.array(*fits)) if fits else F.lit(None).cast("struct<length:int,rule:string,verdict:string>")
 
 
-def parent(host: Column) -> Column:
-    """The domain above a host; null above a domain of one part."""
-    return F.when(F.instr(host, ".") > 0, F.regexp_replace(host, r"^[^.]*\.", ""))
+def node_of(host: Column) -> Column:
+    """A host's node: a 128-bit hash of its last label, hashed on with each label before it, so that a domain has the same node in all hosts below it."""
+    return F.aggregate(F.reverse(F.split(host, r"\.")), F.lit(""), lambda above, label: F.md5(F.concat(above, F.lit("."), label).cast("binary")))
 
 
 def host_edges(pages: DataFrame, scratch: Scratch) -> DataFrame:
-    """(src, dst, weight) from pages(host, html): links with their counts, and each host with the domains above it."""
+    """(src, dst, weight) by nodes, from pages(host, html): links with their counts, and each host with the domains above it.
+
+    A host's domains are hashes, not texts, so that a host of very many labels takes no more than
+    its length.
+    """
     absolute = r"""(?i)(?:href|src)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s>]+)"""
     links = pages.where(F.col("html").contains("//")).select("host", F.explode(F.regexp_extract_all("html", F.lit(absolute), F.lit(1))).alias("dst"))
     links = links.select(F.col("host").alias("src"), F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> dst and src <> '' and dst <> ''")
     links = scratch.cut(links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")))
     hosts = pages.select("host").where("host <> ''").distinct().union(links.select("dst")).distinct()
-    parts = F.split("host", r"\.")
-    above = hosts.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts) - k + 1), "."))).alias("host")).distinct()
-    pairs = above.select("host", parent(F.col("host")).alias("up")).where("up is not null")
+    chain = running(r"reverse(split(host, r'\.'))", "''", "md5(cast(concat(t.at, '.', x) AS binary))", "string")
+    steps = F.expr(f"get(transform(array({chain}), c -> zip_with(slice(c, 2, size(c) - 1), slice(c, 1, size(c) - 1), (a, b) -> named_struct('host', a, 'up', b))), 0)")
+    pairs = hosts.select(F.explode(steps).alias("p")).select("p.*").distinct()
     tree = pairs.select(F.col("host").alias("src"), F.col("up").alias("dst")).unionByName(pairs.select(F.col("up").alias("src"), F.col("host").alias("dst")))
+    links = links.select(node_of(F.col("src")).alias("src"), node_of(F.col("dst")).alias("dst"), "weight")
     return scratch.cut(links.unionByName(tree.withColumn("weight", F.lit(1.0))).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
 
 
@@ -92,7 +97,8 @@ def personalised_ranks(edges: DataFrame, seeds: DataFrame, scratch: Scratch, dam
         for _ in range(STEPS):
             before = after
             sent = before.join(flow, ["walk", "host"]).select("walk", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
-            after = start.unionByName(sent).groupBy("walk", "host").agg(F.sum("rank").alias("rank"))
+            # what is too small for a double does not go on
+            after = start.unionByName(sent.where("rank > 0")).groupBy("walk", "host").agg(F.sum("rank").alias("rank"))
         after, done = scratch.cut(after), done + STEPS
         grown = rank.select("walk", "host", F.col("rank").alias("was"))
         ended = done >= rounds and after.join(grown, ["walk", "host"], "left").where(F.col("was").isNull() | (F.col("rank") - F.col("was") > tolerance * F.col("rank"))).isEmpty()
@@ -110,8 +116,8 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, page_id:
     scratch = Scratch(pages.sparkSession)
     rows = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(html).alias("html"))
     fit = rule_for(F.col("host"), F.col("path"), rules)
-    judged = rows.select("page_id", "host", "path", fit.alias("fit"))
-    seeds = judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("fit.verdict") == "allow").cast("double").alias("good"), F.count_if(F.col("fit.verdict") == "block").cast("double").alias("bad"))
+    judged = rows.select("page_id", "host", "path", fit.alias("fit"), node_of(F.col("host")).alias("node"))
+    seeds = judged.where("host <> ''").groupBy(F.col("node").alias("host")).agg(F.count_if(F.col("fit.verdict") == "allow").cast("double").alias("good"), F.count_if(F.col("fit.verdict") == "block").cast("double").alias("bad"))
     seeds = scratch.cut(seeds)
     edges = host_edges(rows.select("host", "html"), scratch)
     both = edges.select(F.lit("trust").alias("walk"), "src", "dst", "weight").unionByName(edges.select(F.lit("distrust").alias("walk"), F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
@@ -119,7 +125,7 @@ def judge(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, page_id:
     ranks = personalised_ranks(both, starts, scratch)
     of = lambda walk: F.sum(F.when(F.col("walk") == walk, F.col("rank")).otherwise(0.0)).alias(walk)
     marks = scratch.cut(ranks.groupBy(F.col("host").alias("h")).agg(of("trust"), of("distrust")))
-    out = judged.join(marks, F.col("host") == F.col("h"), "left").drop("h").fillna(0.0, ["trust", "distrust"])
+    out = judged.join(marks, F.col("node") == F.col("h"), "left").drop("h").fillna(0.0, ["trust", "distrust"])
     # of the share alone, what the order of sums leaves open is rounded away; ranks have no floor
     share = F.when(F.col("distrust") > 0, F.round(F.col("distrust") / (F.col("trust") + F.col("distrust")), DIGITS))
     bad = F.coalesce(share > threshold, F.lit(False))
