@@ -3,10 +3,12 @@
 Native Spark expressions only. Words are the runs of letters and digits, lower-cased; shingles
 are SHINGLE_WORDS words (of a shorter item, all its words).
 
-1. Windows. A window as long as an item that reaches the similarity shares shingles with it,
-   so windows are cut only where a document's shingle is one of an item's, aligned by it, and
-   only for items of which the document holds enough different shingles: at least the
-   similarity times theirs. Neither test loses a window that would pass the exact check.
+1. Windows. A window as long as an item that reaches the similarity shares nearly all shingles
+   with it, wherever they stand in either. So places are sought where a document has a shingle
+   of an item, and windows are cut at each such place that has enough of them behind it, within
+   the window: as many as the similarity asks for at least. A window that begins with another
+   shingle can be moved on to the next such place, and is not less similar there. So the best
+   window is always cut, whether the item's parts are in their order or not.
 2. Search. 64-bit SimHash fingerprints of windows and items are cut into RADIUS + 1 blocks;
    fingerprints within the radius agree on a block, so joins on (item, block, bits) find all. A
    window is searched for among the items that it was cut for, so that rows are linear in
@@ -26,7 +28,7 @@ of null id; without documents or items there are no rows; other columns are igno
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -88,17 +90,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE_WORDS,
     for n in [r["k"] for r in items.select("k").distinct().orderBy("k").collect()]:  # one number a length up to k
         keys = items.where(F.col("k") == n).select("item", "len", F.size("bag").alias("m"), F.posexplode(_runs(n)).alias("at", "run"))
         keys = keys.select("item", "len", "m", "at", F.xxhash64(*[F.get("run", F.lit(j)) for j in range(n)]).alias("h"))
-        places = texts.where(F.size("w") >= n).select("doc_id", "w", F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("pos"))
-        places = places.select("doc_id", "pos", F.xxhash64(*[F.get("w", F.col("pos") + j) for j in range(n)]).alias("h"))
-        found = places.join(side(keys), "h").select("doc_id", "item", "len", "m", "at", (F.col("pos") - F.col("at")).alias("start"))
+        places = texts.where(F.size("w") >= n).select("doc_id", "w", (F.size("w") - n + 1).alias("places"), F.explode(F.sequence(F.lit(0), F.size("w") - n)).alias("pos"))
+        places = places.select("doc_id", "places", "pos", F.xxhash64(*[F.get("w", F.col("pos") + j) for j in range(n)]).alias("h"))
+        found = places.join(side(keys), "h").select("doc_id", "places", "item", "len", "m", "at", "pos")
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
         return items.where(F.lit(False)).select(F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), "item_id", F.lit(0).alias("start"), F.lit(0.0).alias("similarity"), F.lit(0).alias("distance"))
-    pairs = hits.groupBy("doc_id", "item", "len").agg(F.size(F.collect_set("at")).alias("held"), F.collect_set(F.greatest("start", F.lit(0))).alias("starts"), F.max("m").alias("m"))
+    hits = scratch.cut(hits)
     # shingles repeated in an item count as often as they stand in it, each place being held
-    pairs = pairs.where(100 * F.col("held") >= percent * F.col("m")).select("doc_id", "item", "len", F.explode("starts").alias("start"))
+    held = hits.groupBy("doc_id", "item").agg(F.size(F.collect_set("at")).alias("held"), F.max("m").alias("m")).where(100 * F.col("held") >= percent * F.col("m"))
+    spots = hits.join(held.select("doc_id", "item"), ["doc_id", "item"], "left_semi").groupBy("doc_id", "item", "len", "m", "pos").agg(F.max("places").alias("places"))
+    along = Window.partitionBy("doc_id", "item")
+    spots = spots.withColumn("nth", F.row_number().over(along.orderBy("pos")))
+    # places in order, each with the end of the window that begins there: how many are up to that end
+    marks = F.array(F.struct(F.col("pos").alias("at"), F.lit(0).alias("end")), F.struct((F.col("pos") + F.col("m") - 1).alias("at"), F.lit(1).alias("end")))
+    spots = spots.withColumn("mark", F.explode(marks)).withColumn("upto", F.sum(1 - F.col("mark.end")).over(along.orderBy("mark.at", "mark.end").rowsBetween(Window.unboundedPreceding, 0)))
+    spots = spots.where("mark.end = 1").withColumn("before", F.lag("upto", 1, 0).over(along.orderBy("pos")))
+    # of m shingles of the item and as many of the window, or those up to the text's end, so many have to be common
+    least = F.ceil(percent * (F.col("m") + F.least("m", F.col("places") - F.col("pos"))) / (100 + percent))
+    # a whole window that holds no other place than the one before it is not more similar than that one
+    idle = (F.col("upto") == F.col("before")) & (F.col("pos") + F.col("m") <= F.col("places"))
+    pairs = spots.where((F.col("upto") - F.col("nth") + 1 >= least) & ~idle)
     # a window that several items of one length ask for is cut once
-    pairs = scratch.cut(pairs.groupBy("doc_id", "len", "start").agg(F.array_sort(F.collect_set("item")).alias("items")))
+    pairs = scratch.cut(pairs.groupBy("doc_id", "len", F.col("pos").alias("start")).agg(F.array_sort(F.collect_set("item")).alias("items")))
 
     cut = rows.join(pairs, "doc_id").select("doc_id", "len", "start", "items", words("text").alias("w"))
     cut = cut.select("doc_id", "len", "start", "items", F.slice("w", F.col("start") + 1, F.col("len")).alias("w")).distinct()
