@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import text as T
-from ..functions.cut import folder
+from ..functions.cut import cut, folder
 from ..operators import graph, overview, scope
 from ..sources import corpus, session, sinks
 from ..sources.derived import CORPUS_SQL, derived_corpus
@@ -58,9 +58,10 @@ SELECT zone, (spot // {2 * RANGE})::INTEGER AS number, length(substr(h, spot + 1
 def page_document(spark, sf_dir):
     """The page without its graph, written by tasks as one document, and read again in ranges of its zones' bytes."""
     s, path = kept(spark, sf_dir), f"{folder(spark)}/overview.html"
-    zone = lambda df, name: df.select(F.lit(name).alias("zone"), F.col("ord").cast("string").alias("ord"), "html")
-    found = findings_of(s, in_order=True)
-    parts = zone(overview.strap(s.files, ".", "source").unionByName(overview.panel(s.files, graph.edges_of(s), found)), "STRAP")
+    # each zone is written by itself, so that no plan holds them all
+    zone = lambda df, name: cut(df.select(F.lit(name).alias("zone"), F.col("ord").cast("string").alias("ord"), "html"))
+    found = cut(findings_of(s, in_order=True))
+    parts = zone(overview.strap(s.files, ".", "source").unionByName(overview.panel(s.files, cut(graph.edges_of(s)), found)), "STRAP")
     parts = parts.unionByName(zone(overview.toc(s.files, s.headings), "TOC")).unionByName(zone(overview.findings_zone(found, s.files, s.headings), "FINDINGS"))
     parts = parts.unionByName(zone(overview.files_zone(s.files, rendered(s)[0], found), "FILES"))
     loads = overview.write_document(parts, overview.default_shell(), path)
