@@ -141,6 +141,19 @@ def scalar_value(value: Column) -> Column:
     )
 
 
+def scalar_json(value: Column) -> Column:
+    """A front-matter scalar as JSON, so that parse_json gives a value of its kind; 'null' for null.
+
+    Decimals get an exponent, which makes them doubles and not decimals of as many digits as
+    they are written with. What no double can hold stays a string.
+    """
+    kind, canonical = scalar_kind(value), scalar_value(value)
+    string = F.to_json(F.array(F.coalesce(canonical, F.lit(""))))
+    string = F.substring(string, F.lit(2), F.length(string) - 2)
+    double = F.when(F.contains(canonical, F.lit("Infinity")), F.concat(F.lit('"'), value, F.lit('"'))).when(F.contains(canonical, F.lit("E")), canonical).otherwise(F.concat(canonical, F.lit("E0")))
+    return F.when(kind == "null", F.lit("null")).when(kind.isin("bool", "int"), canonical).when(kind == "float", double).otherwise(string)
+
+
 # Language codes and the code points of their scripts; Latin last.
 SCRIPTS = (
     ("ru", r"Ѐ-ӿ"),

@@ -217,6 +217,32 @@ def reconcile(files: DataFrame, headings: DataFrame, fragments: DataFrame, secti
 BUCKETS, KINDS = ("auto_closed", "genuine_gaps"), ("coverage", "contracts", "anchors")
 
 
+def digest(df: DataFrame, *columns: str) -> DataFrame:
+    """One row (n, total, parity): the rows, the sum of one hash and the exclusive or of another, which no order of rows changes. Nulls count; equal rows are told by the sum."""
+    seeded = lambda seed: F.xxhash64(F.lit(seed), *[F.col(c) for c in columns], *[F.col(c).isNull() for c in columns])
+    return df.agg(F.count("*").alias("n"), F.sum(seeded(1).cast("decimal(38,0)")).alias("total"), F.bit_xor(seeded(2)).alias("parity"))
+
+
+def compare(first: Reconciled, again: Reconciled) -> DataFrame:
+    """(part, n_rows, n_changed, equal) for the fragments, contracts and genuine gaps of two runs: the rows of the first, what the second still changes or closes, and whether the digests of both agree.
+
+    Of each table one row is left before any two meet, so that nothing is joined by key.
+    """
+    gaps = F.col("bucket") == "genuine_gaps"
+    parts = (
+        ("fragments", ("slug", "html"), lambda r: r.fragments, again.fragments.where("changed")),
+        ("contracts", ("slug", "ord", "text"), lambda r: r.contracts, again.report.where((F.col("bucket") == "auto_closed") & (F.col("kind") == "duplicate"))),
+        ("genuine_gaps", ("kind", "slug", "item"), lambda r: r.report.where(gaps), again.report.where(~gaps)),
+    )
+    out = None
+    for name, columns, of, changes in parts:
+        one = digest(of(first), *columns).crossJoin(F.broadcast(digest(of(again), *columns).select(F.struct("n", "total", "parity").alias("b"))))
+        one = one.crossJoin(F.broadcast(changes.agg(F.count("*").alias("n_changed"))))
+        row = one.select(F.lit(name).alias("part"), F.col("n").alias("n_rows"), "n_changed", F.struct("n", "total", "parity").eqNullSafe(F.col("b")).alias("equal"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def exit_status(report: DataFrame) -> int:
     """Of a repair's report: 1 if a genuine gap of some kind is left, else 0."""
     return int(not report.where((F.col("bucket") == "genuine_gaps") & F.col("kind").isin(*KINDS)).isEmpty())

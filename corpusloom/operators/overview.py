@@ -13,7 +13,7 @@ from html import escape
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -84,15 +84,19 @@ def toc(files: DataFrame, headings: DataFrame) -> DataFrame:
 
 
 def geometry(placed: DataFrame) -> DataFrame:
-    """Adds x, y, width and height of the canvas to rows of a diagram."""
-    in_row = F.count("*").over(Window.partitionBy("graph_id", "layer"))
+    """Adds x, y, width and height of the canvas to rows of a diagram.
+
+    Boxes of a layer are counted, with partial counts before the shuffle; a canvas takes its size from its
+    layers' counts, one row each. So no task holds a graph's boxes.
+    """
     width = lambda n: n * BOX_W + F.greatest(n - 1, F.lit(0)) * GAP_X
-    whole = Window.partitionBy("graph_id")
-    rows = placed.withColumn("__n", in_row)
-    rows = rows.withColumn("width", F.max(width(F.col("__n"))).over(whole) + 2 * MARGIN)
-    rows = rows.withColumn("height", (F.max("layer").over(whole) + 1) * BOX_H + F.max("layer").over(whole) * GAP_Y + 2 * MARGIN)
+    layers = placed.groupBy("graph_id", "layer").agg(F.count("*").alias("__n"))
+    deepest = F.max("layer")
+    canvas = layers.groupBy(F.col("graph_id").alias("__g")).agg((F.max(width(F.col("__n"))) + 2 * MARGIN).alias("width"), ((deepest + 1) * BOX_H + deepest * GAP_Y + 2 * MARGIN).alias("height"))
+    sizes = layers.join(canvas, F.col("graph_id").eqNullSafe(F.col("__g"))).select("__g", F.col("layer").alias("__l"), "__n", "width", "height")
+    rows = placed.join(sizes, F.col("graph_id").eqNullSafe(F.col("__g")) & F.col("layer").eqNullSafe(F.col("__l")))
     x = F.round((F.col("width") - width(F.col("__n"))) / 2.0 + F.col("index") * (BOX_W + GAP_X), 2)
-    return rows.withColumn("x", x).withColumn("y", F.round(F.lit(float(MARGIN)) + F.col("layer") * (BOX_H + GAP_Y), 2)).drop("__n")
+    return rows.withColumn("x", x).withColumn("y", F.round(F.lit(float(MARGIN)) + F.col("layer") * (BOX_H + GAP_Y), 2)).drop("__n", "__g", "__l")
 
 
 def graph_zone(files: DataFrame, edges: DataFrame) -> DataFrame:

@@ -164,6 +164,28 @@ def front_rows(files: DataFrame) -> DataFrame:
     return rows.select("slug", "key", kind.alias("kind"), value.alias("value"))
 
 
+def _value_json(f: Column) -> Column:
+    """The value of one entry of the front matter as JSON: a list, the empty string of a key without value, or a scalar."""
+    items = F.concat(F.lit("["), F.array_join(F.transform(f["items"], T.scalar_json), ","), F.lit("]"))
+    return F.when(f["items"].isNotNull(), items).when(f["value"] == "", F.lit('""')).otherwise(T.scalar_json(f["value"]))
+
+
+def front_typed(files: DataFrame) -> DataFrame:
+    """Adds typed, a VARIANT object of the front matter's typed values by key; null where there is none. Read it with variant_get.
+
+    Integers of more than 38 digits become doubles.
+    """
+    pair = lambda f: F.concat(F.regexp_extract(F.to_json(F.array(f["key"])), r"(?s)^\[(.*)\]\z", 1), F.lit(":"), _value_json(f))
+    whole = F.concat(F.lit("{"), F.array_join(F.transform("front", pair), ","), F.lit("}"))
+    return files.withColumn("typed", F.parse_json(F.when(F.size("front") > 0, whole)))
+
+
+def front_schema(files: DataFrame) -> DataFrame:
+    """(key, type, files): the one type that holds a key's values in all files, merged before the shuffle, and how many files have the key. Types that have none in common are VARIANT."""
+    rows = files.select(F.explode("front").alias("f")).select("f.key", F.parse_json(_value_json(F.col("f"))).alias("v"))
+    return rows.groupBy("key").agg(F.schema_of_variant_agg("v").alias("type"), F.count("*").alias("files"))
+
+
 def groups(files: DataFrame) -> DataFrame:
     """(group, file_count, token_estimate, members, files): one row a folder; members are slugs, files short records, both in the order of paths."""
     rows = files.withColumn("group", T.group_of(F.col("file_path")))
