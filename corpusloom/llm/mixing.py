@@ -1,12 +1,13 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling (operator 9).
 
-Each document draws an exponential key -ln(u) / w, with u from a hash of its id and w its
+Each document draws an exponential key -ln(u) / w, with u from a hash of its id and text and w its
 quality weight. Documents of a source are sorted by key and their sizes prefix-summed to the
 source's budget. Targets above a source's size first take complete epochs (every document
 that often), and only the rest of the budget is filled by the sorted order.
 
 Edge cases: a null text has size 0 and is never taken; a null source is a source of its own,
-last in order; repeated rows count and are taken one by one; an empty table gives no rows;
+last in order; rows of null id, or of one id, draw by their texts; rows equal in both share a draw
+and are taken one by one; an empty table gives no rows;
 other columns of the input are ignored.
 """
 
@@ -28,9 +29,10 @@ def word_count(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def draw(doc_id: str = "doc_id") -> Column:
-    """u in (0, 1), from the first 13 hex digits of the id's md5."""
-    digits = F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 13), 16, 10)
+def draw(doc_id: str = "doc_id", text_key: str = "text_key") -> Column:
+    """u in (0, 1), from the first 13 hex digits of the md5 of the id and the text's md5."""
+    both = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text_key), F.lit("")))
+    digits = F.conv(F.substring(F.md5(both), 1, 13), 16, 10)
     return (digits.cast("double") + 1) / F.lit(float(2**52 + 2))
 
 
@@ -58,13 +60,13 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, text_key, size, source, source_size, target, copies, taken) for each row of docs; text_key hashes the text.
+    """(doc_id, text_key, size, source, source_size, target, copies, taken) for each row of docs; text_key is the text's md5.
 
     quality: (doc_id, quality) rows that weigh the draw; several for one id count as their
     greatest. A document is taken whole in the last, fractional epoch if at least half of it lies within the
     budget, so that a source misses its target by half a document at most.
     """
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).select("doc_id", "source", word_count().alias("size"), F.xxhash64("text").alias("text_key"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")).select("doc_id", "source", word_count().alias("size"), F.md5("text").alias("text_key"))
     rows = Scratch(docs.sparkSession).cut(rows)  # five plans below read the sizes: words are counted once
     weight = F.lit(QUALITY_WEIGHT[None])
     if quality is not None:
@@ -91,7 +93,7 @@ def mixed_documents(docs: DataFrame, quality: DataFrame | None = None, doc_id: s
     """The rows of docs as often as the mix takes them, with all their columns. Rows of one id and text are interchangeable and share their copies."""
     mine = mix(docs, quality, doc_id=doc_id, text=text, **options).where("copies > 0")
     copies = mine.groupBy(F.col("doc_id").alias("__i"), F.col("text_key").alias("__t")).agg(F.sum("copies").alias("__n"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(doc_id).alias("__id"), F.xxhash64(F.col(text)).alias("__k"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(doc_id).alias("__id"), F.md5(F.col(text)).alias("__k"))
     rows = rows.join(copies, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__k") == F.col("__t"))).dropDuplicates(["__id", "__k"])
     return rows.select("__row", F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy")).select("__row.*")
 
@@ -105,7 +107,7 @@ ORACLE = r"""
 WITH best AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id),
 rows AS (
   SELECT d.doc_id, d.source, coalesce(len(regexp_extract_all(d.text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-    -ln((CAST('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '')), 1, 13) AS BIGINT)::DOUBLE + 1) / 4503599627370498.0)
+    -ln((CAST('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || ':' || coalesce(md5(d.text), '')), 1, 13) AS BIGINT)::DOUBLE + 1) / 4503599627370498.0)
       / (CASE q.quality WHEN 1 THEN 2.0 WHEN 0 THEN 0.5 ELSE 1.0 END)::DOUBLE AS key
   FROM documents d LEFT JOIN best q ON d.doc_id = q.doc_id),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM rows GROUP BY source),

@@ -12,7 +12,8 @@ def brute(rows, quality):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     by = defaultdict(list)
     for i, text, source in rows:
-        u = (int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:13], 16) + 1) / (2**52 + 2)
+        digest = lambda t: hashlib.md5(t.encode()).hexdigest()
+        u = (int(digest(f"{'' if i is None else i}:{'' if text is None else digest(text)}")[:13], 16) + 1) / (2**52 + 2)
         by[source].append((-math.log(u) / mixing.QUALITY_WEIGHT[quality.get(i)], i if i is not None else -math.inf, size(text), text))
     names = sorted(by, key=lambda s: (s is None, s or ""))
     weight = {s: (1, 2, 3)[k % 3] for k, s in enumerate(names)}
@@ -69,3 +70,16 @@ def test_documents_come_as_often_as_they_are_taken(spark):
 def test_small_tables(spark, rows):
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert [r.taken for r in got] == ([2] if rows and rows[0][1] else [0] * len(rows))
+
+
+def test_rows_of_null_id_are_sampled_by_their_texts(spark):
+    rows = [(None, f"t{i} w", "a") for i in range(2000)] + [(i, f"t{i} w w w", "b") for i in range(1000)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).where("source = 'a'").collect()
+    share = got[0].target % got[0].source_size / got[0].source_size
+    assert 0.1 < share < 0.9
+    more = [r.copies > got[0].target // got[0].source_size for r in got]
+    assert abs(sum(more) - share * len(got)) <= 1
+    # neither the first nor the last texts in order are preferred
+    by_text = [m for _, m in sorted(zip((r.text_key for r in got), more, strict=True))]
+    half = sum(by_text[:1000]) / sum(by_text)
+    assert 0.4 < half < 0.6
