@@ -30,6 +30,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _row_key() -> Column:
+    """128 bits of id and text, as text; nulls are told from empty ones."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.when(F.col("text").isNull(), "\0").otherwise("\1"), F.coalesce("text", F.lit(""))))
+
+
+def _number() -> Column:
+    """64 bits of the same, as the Jaccard join numbers its documents."""
     return F.xxhash64("doc_id", "text")
 
 
@@ -42,15 +48,20 @@ def _unused(docs: DataFrame, name: str) -> str:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of smallest id (of null ids the last); repeated rows are one document."""
+    """Of each group of linked documents the one of smallest id (of null ids the last); repeated rows are one document.
+
+    Where two documents share a number, both stay if it is a group's first: no document is lost by that, at
+    most a copy is kept.
+    """
     named_or_worded = F.col("doc_id").isNotNull() | F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     named = docs.where(named_or_worded)
-    found = jaccard_components(named.select(_row_key().alias("doc_id"), "text")).documents.select(F.col("doc_id").alias("k"), "component_id").distinct()
-    ids = named.select(_row_key().alias("k"), "doc_id").distinct()
+    found = jaccard_components(named.select(_number().alias("doc_id"), "text")).documents.select(F.col("doc_id").alias("k"), "component_id").distinct()
+    ids = named.select(_number().alias("k"), "doc_id").distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k"))
     stay = found.join(ids, "k").groupBy("component_id").agg(first.alias("s"))
-    row = _unused(docs, "__row")
-    kept = named.withColumn(row, _row_key()).join(stay.select(F.col("s.k").alias(row)), row, "left_semi").dropDuplicates([row])
+    number, row = _unused(docs, "__number"), _unused(docs, "__row")
+    kept = named.withColumn(number, _number()).join(stay.select(F.col("s.k").alias(number)), number, "left_semi")
+    kept = kept.withColumn(row, _row_key()).dropDuplicates([row])
     return kept.select(*docs.columns).unionByName(docs.where(~named_or_worded))
 
 
