@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, running, table
+from .common import Scratch, join_counted, running, table
 
 #: (verdict, host, path) of each rule; the list is a parameter of bounded size.
 RULES = (
@@ -35,6 +35,8 @@ DAMPING, THRESHOLD = 0.85, 0.5
 TOLERANCE, ROUNDS = 1e-9, 128
 #: Rounds between two written tables; digits of a share that count.
 STEPS, DIGITS = 4, 7
+#: Out-edges of a host that one task takes; those of a host of more are dealt to slices.
+MOST_OUT = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -80,33 +82,51 @@ def host_edges(pages: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.cut(links.unionByName(tree.withColumn("weight", F.lit(1.0))).groupBy("src", "dst").agg(F.sum("weight").alias("weight")))
 
 
-def personalised_ranks(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def sliced_flow(edges: DataFrame, damping: float = DAMPING, most_out: int = MOST_OUT) -> DataFrame:
+    """(walk, host, dst, share) of edges(walk, src, dst, weight), a written table: what a host's rank sends on.
+
+    A host of more than most_out out-edges sends its whole rank to slices of its own, named host/n,
+    and each of them a part of its shares. Shares along a way multiply to the same, so that ranks of hosts are
+    the same sums, and no host's edges meet in one task.
+    """
+    out = edges.groupBy("walk", "src").agg(F.sum("weight").alias("out"), F.count("*").alias("n"))
+    rows = join_counted(edges, out, ["walk", "src"], "n")
+    slice_of = F.concat("src", F.lit("/"), F.pmod(F.xxhash64("dst"), F.ceil(F.col("n") / most_out)).cast("string"))
+    rows = rows.select("walk", "src", F.when(F.col("n") > most_out, slice_of).alias("slice"), "dst", (F.col("weight") / F.col("out") * damping).alias("share"))
+    whole = rows.where("slice is not null").select("walk", F.col("src").alias("host"), F.col("slice").alias("dst"), F.lit(1.0).alias("share")).distinct()
+    return rows.select("walk", F.coalesce("slice", "src").alias("host"), "dst", "share").unionByName(whole)
+
+
+def personalised_ranks(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE, most_out: int = MOST_OUT) -> DataFrame:
     """(walk, host, rank) of walks along edges(walk, src, dst, weight) that restart at seeds(walk, host, seed) with 1 - damping; ranks of hosts without out-edges restart too.
 
     Such ranks are the sum over k of (damping * flow)^k from the seeds, scaled to 1 in each walk. The
     sum only grows: it ends when, after the given rounds, no host's rank grows by more than
-    tolerance of itself, which a host that is just reached always does.
+    tolerance of itself, which a host that is just reached always does. No host's name has a slash.
+
+    Ranks stay dealt by their host from a round's sums to the next one's join, and flow is shuffled once
+    for STEPS rounds; nothing is broadcast, as each such table would stay on the driver.
     """
     total = seeds.groupBy("walk").agg(F.sum("seed").alias("total")).where("total > 0")
     start = scratch.cut(seeds.join(F.broadcast(total), "walk").select("walk", "host", (F.col("seed") / F.col("total")).alias("rank")))
-    out = edges.groupBy("walk", "src").agg(F.sum("weight").alias("out"))
-    flow = scratch.cut(edges.join(out, ["walk", "src"]).select("walk", F.col("src").alias("host"), "dst", (F.col("weight") / F.col("out") * damping).alias("share")))
+    flow = scratch.cut(sliced_flow(edges, damping, most_out))
     rank, done = start, 0
     while True:
         after = rank
         for _ in range(STEPS):
             before = after
-            sent = before.join(flow, ["walk", "host"]).select("walk", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
+            sent = before.join(flow.hint("merge"), ["walk", "host"]).select("walk", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
             # what is too small for a double does not go on
             after = start.unionByName(sent.where("rank > 0")).groupBy("walk", "host").agg(F.sum("rank").alias("rank"))
         after, done = scratch.cut(after), done + STEPS
         grown = rank.select("walk", "host", F.col("rank").alias("was"))
-        ended = done >= rounds and after.join(grown, ["walk", "host"], "left").where(F.col("was").isNull() | (F.col("rank") - F.col("was") > tolerance * F.col("rank"))).isEmpty()
+        ended = done >= rounds and after.join(grown.hint("merge"), ["walk", "host"], "left").where(F.col("was").isNull() | (F.col("rank") - F.col("was") > tolerance * F.col("rank"))).isEmpty()
         if rank is not start:
             scratch.drop(rank)
         rank = after
         if ended:
             break
+    rank = rank.where(~F.contains("host", F.lit("/")))
     whole = rank.groupBy("walk").agg(F.sum("rank").alias("whole"))
     return rank.join(F.broadcast(whole), "walk").select("walk", "host", (F.col("rank") / F.col("whole")).alias("rank"))
 

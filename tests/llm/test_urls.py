@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from corpusloom.llm import urls
+from corpusloom.llm.common import Scratch
 
 PAGES = [
     (1, "https://A.Example.ORG/en/2?x=http://q", '<a href="http://bad.example.com/x">', "h"), (2, "http://example.org/es/1", None, "h"), (3, "http://example.org/en/12#f", "", "h"),
@@ -94,3 +95,19 @@ def test_far_hosts_are_reached(spark):
     rows = [(0, "http://bad.net/x", None), (1, f"http://{far}/", None), (2, "http://c.org/", None)]
     got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), (("block", "bad.net", "/x"),)).collect()}
     assert [got[i].verdict for i in range(3)] == ["block", "block", "allow"] and got[1].distrust > 0
+
+
+def test_slices_of_hosts_of_many_edges_change_no_rank(spark):
+    import random
+
+    draw = random.Random(4)
+    pairs = {(f"h{draw.randrange(12)}", f"h{draw.randrange(60)}"): draw.randint(1, 4) for _ in range(260)} | {("h70", "h3"): 1, ("h3", "h71"): 2}
+    edges = spark.createDataFrame([("w", a, b, float(n)) for (a, b), n in pairs.items()], "walk string, src string, dst string, weight double")
+    seeds = spark.createDataFrame([("w", "h1", 2.0), ("w", "h70", 1.0)], "walk string, host string, seed double")
+    assert edges.groupBy("src").count().agg({"count": "max"}).first()[0] > 15
+    ranks = lambda most: {r.host: r["rank"] for r in urls.personalised_ranks(edges, seeds, Scratch(spark), most_out=most).collect()}
+    whole, sliced = ranks(1000), ranks(3)
+    assert set(whole) == set(sliced) and sum(sliced.values()) == pytest.approx(1, abs=1e-9)
+    assert all(sliced[h] == pytest.approx(r, rel=1e-7) for h, r in whole.items())
+    want = rank(pairs, {"h1": 2.0, "h70": 1.0})
+    assert all(whole[h] == pytest.approx(r, abs=1e-8) for h, r in want.items())
