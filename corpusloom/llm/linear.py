@@ -1,4 +1,4 @@
-"""Logistic regression over sparse rows on the driver, for samples of bounded size."""
+"""Logistic regression over sparse rows in one process, for samples of bounded size."""
 
 from __future__ import annotations
 

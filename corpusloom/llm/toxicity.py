@@ -6,7 +6,8 @@ categories before it. In training those probabilities are out-of-fold prediction
 later models learn from inputs as uncertain as the ones they will get.
 
 Training takes a bounded sample of labelled rows (sample_rows, chosen by a hash of the id) and
-keeps the max_features features that tell a category best; scoring reads every whole text.
+keeps the max_features features that tell a category best; scoring reads every whole text. The
+sample meets in one task, which is as large as sample_rows allows; the driver gets the models alone.
 
 Edge cases: null and empty texts, and texts without letters, have no features and get the
 models' base rates, but are never rejected; labels with nulls are left out of a category's
@@ -19,6 +20,7 @@ so often that the sample would be over twice its size, a share of its texts by h
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -127,6 +129,24 @@ def train_chain(hashes: list[np.ndarray], labels: np.ndarray, folds: np.ndarray,
     return chain
 
 
+def _trainer(names: list[str]):
+    """The columns, models and threshold of the chain of all rows of a task, pickled; no row of none."""
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        got = pa.Table.from_batches(got).sort_by([("doc_id", "ascending"), ("hashes", "ascending")])
+        y = np.column_stack([got.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in names])
+        hashes = [np.frombuffer(h, np.uint64) for h in got.column("hashes").to_pylist()]
+        folds = got.column("fold").to_numpy()
+        del got
+        chain = train_chain(hashes, y, folds, names)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((chain.columns, chain.models, chain.threshold))], pa.binary())], ["chain"])
+
+    return train
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, sample_rows: int = SAMPLE_ROWS, doc_id: str = "doc_id", text: str = "text") -> Chain:
     """Learns the chain from a sample of labelled documents of at most about sample_rows rows."""
     small_batches(docs.sparkSession)
@@ -141,12 +161,11 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories=CATEGORIES, samp
         rows = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < 2_000_000 * sample_rows // found)
     rows = rows.select("doc_id", *names, F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), "text")
     kinds = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), *[T.StructField(n, T.IntegerType()) for n in [*names, "fold"]], T.StructField("hashes", T.BinaryType())])
-    got = rows.mapInArrow(_featurise, kinds).distinct().toArrow().sort_by([("doc_id", "ascending"), ("hashes", "ascending")])
-    y = np.column_stack([got.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in names]) if got.num_rows else np.zeros((0, len(names)))
-    hashes = [np.frombuffer(h, np.uint64) for h in got.column("hashes").to_pylist()]
-    folds = got.column("fold").to_numpy()
-    del got
-    return train_chain(hashes, y, folds, names)
+    made = rows.mapInArrow(_featurise, kinds).distinct().repartition(1).mapInArrow(_trainer(names), "chain binary").first()
+    chain = train_chain([], np.zeros((0, len(names))), np.zeros(0), names)
+    if made is not None:
+        chain.columns, chain.models, chain.threshold = pickle.loads(made.chain)
+    return chain
 
 
 def _scorer(chain: Chain):

@@ -177,3 +177,21 @@ def test_toxicity_equals_a_plain_chain(spark):
         for name, p in zip(chain.names, before, strict=True):
             assert abs(got[i][f"p_{name}"] - p) < 1e-4
         assert got[i].rejected == (got[i].p_toxic >= chain.threshold)
+
+
+def test_the_driver_gets_no_rows_of_the_sample(spark, monkeypatch):
+    seen, train = [], toxicity.train_chain
+
+    def watched(hashes, *rest):
+        seen.append(len(hashes))
+        return train(hashes, *rest)
+
+    df = spark.createDataFrame([(i, f"{'idiot scum' if i % 2 else 'kind friend'} number {i % 7}") for i in range(60)], "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    want = toxicity.fit_toxicity(df, marks)
+    monkeypatch.setattr(toxicity, "train_chain", watched)
+    chain = toxicity.fit_toxicity(df, marks)
+    assert sum(seen) == 0  # the tasks have copies of the list
+    assert all(m is not None for m in chain.models[:2]) and chain.threshold == want.threshold and list(chain.columns) == list(want.columns)
+    hits = {r.doc_id for r in toxicity.score_toxicity(df, chain).where("rejected").collect()}
+    assert hits == set(range(1, 60, 2))
