@@ -37,6 +37,8 @@ TOLERANCE, ROUNDS = 1e-9, 128
 STEPS, DIGITS = 4, 7
 #: Out-edges of a host that one task takes; those of a host of more are dealt to slices.
 MOST_OUT = 10_000
+#: Rows of a walk's graph, seeds and edges, that one task walks alone; larger graphs are dealt by their hosts.
+ONE_TASK = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -97,7 +99,7 @@ def sliced_flow(edges: DataFrame, damping: float = DAMPING, most_out: int = MOST
     return rows.select("walk", F.coalesce("slice", "src").alias("host"), "dst", "share").unionByName(whole)
 
 
-def personalised_ranks(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE, most_out: int = MOST_OUT) -> DataFrame:
+def personalised_ranks(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE, most_out: int = MOST_OUT, one_task: int = ONE_TASK) -> DataFrame:
     """(walk, host, rank) of walks along edges(walk, src, dst, weight) that restart at seeds(walk, host, seed) with 1 - damping; ranks of hosts without out-edges restart too.
 
     Such ranks are the sum over k of (damping * flow)^k from the seeds, scaled to 1 in each walk. The
@@ -105,22 +107,26 @@ def personalised_ranks(edges: DataFrame, seeds: DataFrame, scratch: Scratch, dam
     tolerance of itself, which a host that is just reached always does. No host's name has a slash.
 
     Ranks stay dealt by their host from a round's sums to the next one's join, and flow is shuffled once
-    for STEPS rounds; nothing is broadcast, as each such table would stay on the driver.
+    for STEPS rounds; nothing is broadcast, as each such table would stay on the driver. A graph of
+    at most one_task rows is read by one task, which needs no shuffles: dealt out, each round would cost as many
+    tasks as there are shuffle partitions, whatever the graph's size.
     """
     total = seeds.groupBy("walk").agg(F.sum("seed").alias("total")).where("total > 0")
     start = scratch.cut(seeds.join(F.broadcast(total), "walk").select("walk", "host", (F.col("seed") / F.col("total")).alias("rank")))
     flow = scratch.cut(sliced_flow(edges, damping, most_out))
-    rank, done = start, 0
+    few = start.count() + flow.count() <= one_task
+    met = lambda df: df.coalesce(1) if few else df
+    flow, rank, done = met(flow), start, 0
     while True:
         after = rank
         for _ in range(STEPS):
             before = after
-            sent = before.join(flow.hint("merge"), ["walk", "host"]).select("walk", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
+            sent = met(before).join(flow.hint("merge"), ["walk", "host"]).select("walk", F.col("dst").alias("host"), (F.col("rank") * F.col("share")).alias("rank"))
             # what is too small for a double does not go on
-            after = start.unionByName(sent.where("rank > 0")).groupBy("walk", "host").agg(F.sum("rank").alias("rank"))
+            after = met(start.unionByName(sent.where("rank > 0"))).groupBy("walk", "host").agg(F.sum("rank").alias("rank"))
         after, done = scratch.cut(after), done + STEPS
-        grown = rank.select("walk", "host", F.col("rank").alias("was"))
-        ended = done >= rounds and after.join(grown.hint("merge"), ["walk", "host"], "left").where(F.col("was").isNull() | (F.col("rank") - F.col("was") > tolerance * F.col("rank"))).isEmpty()
+        grown = met(rank).select("walk", "host", F.col("rank").alias("was"))
+        ended = done >= rounds and met(after).join(grown.hint("merge"), ["walk", "host"], "left").where(F.col("was").isNull() | (F.col("rank") - F.col("was") > tolerance * F.col("rank"))).isEmpty()
         if rank is not start:
             scratch.drop(rank)
         rank = after

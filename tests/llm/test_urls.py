@@ -111,3 +111,28 @@ def test_slices_of_hosts_of_many_edges_change_no_rank(spark):
     assert all(sliced[h] == pytest.approx(r, rel=1e-7) for h, r in whole.items())
     want = rank(pairs, {"h1": 2.0, "h70": 1.0})
     assert all(whole[h] == pytest.approx(r, abs=1e-8) for h, r in want.items())
+
+
+def test_a_small_graph_takes_few_tasks(spark):
+    edges = spark.createDataFrame([("w", f"h{i}", f"h{(i * 7 + j) % 20}", 1.0 + j) for i in range(20) for j in range(1, 3)], "walk string, src string, dst string, weight double")
+    seeds = spark.createDataFrame([("w", "h1", 2.0), ("w", "h5", 1.0)], "walk string, host string, seed double")
+    tracker, set_to = spark.sparkContext.statusTracker(), {"spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in set_to}
+    for k, v in set_to.items():
+        spark.conf.set(k, v)
+    try:
+        spark.sparkContext.setJobGroup("few", "few")
+        ranks = {r.host: r["rank"] for r in urls.personalised_ranks(edges, seeds, Scratch(spark), rounds=16, tolerance=1.0).collect()}
+        stages = {s for j in tracker.getJobIdsForGroup("few") for s in tracker.getJobInfo(j).stageIds}
+        few = sum(s.numCompletedTasks for i in stages if (s := tracker.getStageInfo(i)))
+        spark.sparkContext.setJobGroup("dealt", "dealt")
+        dealt = {r.host: r["rank"] for r in urls.personalised_ranks(edges, seeds, Scratch(spark), rounds=16, tolerance=1.0, one_task=0).collect()}
+        stages = {s for j in tracker.getJobIdsForGroup("dealt") for s in tracker.getJobInfo(j).stageIds}
+        many = sum(s.numCompletedTasks for i in stages if (s := tracker.getStageInfo(i)))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # dealt out, each of the 16 rounds has a task for each of the 20 partitions; what stands around the rounds counts in both
+    assert few < 16 * 20 <= many, (few, many)
+    assert set(ranks) == set(dealt) and all(ranks[h] == pytest.approx(r, rel=1e-9) for h, r in dealt.items())
